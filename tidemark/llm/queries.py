@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat
+from . import bpe, chat, digest, mixing, toxicity
 from ..session import table
 
 
@@ -45,5 +45,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op4_chat": op4_chat}
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op6_digest": op6_digest, "op7_mix": op7_mix}
 SQL: dict[str, str] = {"op4_chat": OP4_SQL}
