@@ -17,15 +17,14 @@ import json
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PIECES, WORDS = 500_000, 100_000  # runs and words kept by a worker; then the table starts anew
-PAIRS = 400_000  # pair verdicts kept by a worker
+from .common import add_columns
+
+PIECES, WORDS = 300_000, 60_000  # runs and words kept by a worker; then the table starts anew
+PAIRS = 250_000  # pair verdicts kept by a worker
 END = ""  # stands for the end of a word inside the automaton
 INF = 1 << 60
 
@@ -203,48 +202,55 @@ def encoder(spec: str) -> PrefixBPE:
     return _loaded[key]
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {name} is there already")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _spec(df: DataFrame, vocabulary: str):
+    """The vocabulary file's text as a broadcast: read once on the driver, bounded by the vocabulary, not by the data."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` and its ``text`` as token ids: binary, little-endian unsigned 32-bit integers.
-
-    ``vocabulary`` is a local path on the driver; its content travels to the executors as one broadcast
-    (bounded by the vocabulary, not by the data). Null text gives no ids (empty binary).
-    """
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    """``df`` and its ``text`` as token ids: binary, little-endian unsigned 32-bit integers; null text gives none (empty binary)."""
+    spec = _spec(df, vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(spec.value)
-        for pdf in batches:
-            yield pdf.assign(**{out: [enc.encode(t) if isinstance(t, str) else b"" for t in pdf[text]]})
+        return lambda texts: [[enc.encode(t or "") for t in texts]]
 
-    return df.mapInPandas(run, _with(df, out, T.BinaryType()))
+    return add_columns(df, [text], {out: "binary"}, start)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` and the text of its packed ``ids``; null ids give the empty text."""
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    spec = _spec(df, vocabulary)
+
+    def start():
+        enc = encoder(spec.value)
+        return lambda packed: [[enc.decode(b or b"") for b in packed]]
+
+    return add_columns(df, [ids], {out: "string"}, start)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass of the same workers: ``keep`` with ids and decoded."""
+    spec = _spec(df, vocabulary)
+
+    def start():
         enc = encoder(spec.value)
-        for pdf in batches:
-            yield pdf.assign(**{out: [enc.decode(b) if isinstance(b, bytes) else "" for b in pdf[ids]]})
 
-    return df.mapInPandas(run, _with(df, out, T.StringType()))
+        def both(texts):
+            ids = [enc.encode(t or "") for t in texts]
+            return [ids, [enc.decode(b) for b in ids]]
+
+        return both
+
+    return add_columns(df, [text], {"ids": "binary", "decoded": "string"}, start, keep)
 
 
 def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_tokens, ids_sha256, decoded_sha256 of encode() followed by decode()."""
-    coded = decode(encode(df.select(F.col(key), F.col(text).alias("_text")), vocabulary, "_text", "_ids").drop("_text"), vocabulary, "_ids", "_decoded")
-    return coded.select(
+    """One row per document: key, n_tokens, ids_sha256, decoded_sha256 of the round trip."""
+    return round_trip(df, vocabulary, text, [key]).select(
         F.col(key),
-        (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("_ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

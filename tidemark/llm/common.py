@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"  # the contract's word: a run without ASCII white space
 
@@ -29,3 +31,33 @@ def cut(df: DataFrame) -> DataFrame:
 def fold(column: str, m: int):
     """crc32 of the id as text, modulo ``m``; null ids count as fold of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(m)
+
+
+def add_columns(df: DataFrame, inputs: list[str], made: dict[str, str], start: Callable[[], Callable], keep: list[str] | None = None, rows: int = 256) -> DataFrame:
+    """``df`` (its columns in ``keep``, or all) with the columns ``made`` (name: type) that Python makes of ``inputs``.
+
+    ``start()`` runs once in each task and returns a function from lists of input values to lists of results.
+    Arrow batches are worked through in slices of ``rows``, so a worker holds few texts as Python objects.
+    A name in ``made`` that is there already raises ValueError.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    keep = list(df.columns) if keep is None else list(keep)
+    if clash := {c.lower() for c in keep} & {c.lower() for c in made}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    new = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in made.items()))
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+    fields = [df.schema[c] for c in keep] + new.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = make(*[part.column(f"_in{i}").to_pylist() for i in range(len(inputs))])
+                yield pa.RecordBatch.from_arrays([part.column(f"_keep{i}") for i in range(len(keep))] + [pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)], names=names)
+
+    names = [f.name for f in fields]
+    sent = df.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
+    return sent.mapInArrow(run, T.StructType(fields))

@@ -12,13 +12,13 @@ than a triplet's span count what fits. Extra columns are ignored by fingerprint_
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 BUCKETS = 512
 #: Distances of a triplet's second and third byte from its first; wide ones depend less on the language's own letter groups.
 SPANS = ((1, 2), (2, 5), (3, 9), (5, 13), (7, 17), (11, 23))
@@ -111,17 +111,14 @@ def fingerprint_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     Ties of the key are ordered by text; a null key comes first.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, t, n in zip(pdf["_key"], pdf["_text"], pdf["_next"], strict=True):
-                cut = len(t) // 4
-                edited = t[: len(t) - cut] + n[:cut]
-                a, e, b = codes(t), codes(edited), codes(n)
-                out.append((k, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(a), digest(e), likeness(a, e), likeness(a, b)))
-            yield pd.DataFrame(out, columns=names)
-
-    pairs = _with_next(df, key, text)
-    names = ["_key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kind = dict(pairs.dtypes)["_key"]
-    return pairs.mapInPandas(run, f"_key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("_key", key)
+    def make(texts, nexts):
+        out = []
+        for t, n in zip(texts, nexts, strict=True):
+            cut = len(t) // 4
+            edited = t[: len(t) - cut] + n[:cut]
+            a, e, b = codes(t), codes(edited), codes(n)
+            out.append((len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(a), digest(e), likeness(a, e), likeness(a, b)))
+        return list(zip(*out, strict=True)) if out else [[]] * 6
+
+    made = {"n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+    return add_columns(_with_next(df, key, text), ["_text", "_next"], made, lambda: make, ["_key"]).withColumnRenamed("_key", key)

@@ -15,14 +15,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import add_columns, fold
 
 MAX_DOCS = 8_000  # labelled rows that training reads
 MAX_TERMS = 1_024  # terms with weights
@@ -118,26 +116,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     if n > max_docs:
         marked = marked.where(F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [sorted({t for w in set(_words(x.lower())) for t in word_terms(w)}) for x in pdf["_t"]]
-            yield pd.DataFrame({"t": [np.array(f, dtype=np.int32).tobytes() for f in found], "y": pdf["_y"]})
+    def make(texts):
+        return [[np.array(sorted({t for w in set(_words(x.lower())) for t in word_terms(w)}), dtype=np.int32).tobytes() for x in texts]]
 
     # at most max_docs rows of two numbers
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(marked), key).select("_t", "_y").mapInPandas(run, "t binary, y int").collect()
-    return fit([(np.frombuffer(bytes(r["t"]), dtype=np.int32).astype(np.int64), int(r["y"])) for r in sorted(rows, key=lambda r: (bytes(r["t"]), r["y"]))])
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(marked), key).select("_t", "_y")
+    rows = add_columns(rows, ["_t"], {"t": "binary"}, lambda: make, ["_y"]).collect()
+    return fit([(np.frombuffer(bytes(r["t"]), dtype=np.int32).astype(np.int64), int(r["_y"])) for r in sorted(rows, key=lambda r: (bytes(r["t"]), r["_y"]))])
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a toxicity score from 0 to 1 for every whole text."""
-    if out.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {out} is there already")
-
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([machine.score(t) if isinstance(t, str) else machine.score("") for t in s], dtype="float64")
-
-    return docs.withColumn(out, F.pandas_udf(run, "double")(F.col(text)))
+    return add_columns(docs, [text], {out: "double"}, lambda: lambda texts: [[machine.score(t or "") for t in texts]])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = 0.3) -> DataFrame:
