@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, digest, langid, mixing, quality, toxicity
+from . import bpe, chat, digest, langid, mixing, multi_index, quality, toxicity
 from ..session import table
 
 
@@ -46,6 +47,10 @@ FROM r GROUP BY conv_id
 """
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,5 +72,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op6_digest": op6_digest, "op7_mix": op7_mix, "op9_quality": op9_quality, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_multi_index": op1_multi_index, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op6_digest": op6_digest, "op7_mix": op7_mix, "op9_quality": op9_quality, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op4_chat": OP4_SQL}
