@@ -1,7 +1,7 @@
 """Chat formatting from relational rows, with Spark expressions only.
 
 Turns of a conversation are collected as structs, sorted by (turn, role, text), adjacent turns of one role are
-merged into one block, and blocks are concatenated:
+merged into one block, and all pieces are aggregated from the array into one string:
 
     <|im_start|>role<|im_body|>text[<|im_next|>text ...]<|im_end|>\\n
 
@@ -44,27 +44,18 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(F.col(conv).alias("_conv"), F.struct(F.col(turn).alias("turn"), escape(blank(role)).alias("role"), escape(blank(text)).alias("text")).alias("_t"))
     turns = rows.groupBy("_conv").agg(F.sort_array(F.collect_list("_t")).alias("_t"))
-    n = F.size("_t")
-    # runs of one role: the index of the first turn of each, then the turns up to the next
-    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.col("_t")[i].role != F.get(F.col("_t"), i - 1).role))
-    runs = turns.withColumn("_first", firsts).withColumn(
-        "_run",
-        F.transform(
-            "_first",
-            lambda s, k: F.struct(
-                F.col("_t")[s].role.alias("role"),
-                F.transform(F.slice("_t", s + 1, F.coalesce(F.get(F.col("_first"), k + 1), n) - s), lambda t: t.text).alias("texts"),
-            ),
-        ),
-    )
+    # every turn gives what stands before its text and the text; a turn opens a block unless its neighbour has its role.
+    # Neighbours are read by index, as slices and growing arrays would copy the conversation for every turn.
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    no = F.lit(False)
-    block = lambda r: F.concat(
-        F.array(piece(F.concat(F.lit(START), r.role, F.lit(BODY)), no)),
-        F.flatten(F.transform(r.texts, lambda t, i: F.concat(F.when(i > 0, F.array(piece(F.lit(NEXT), no))).otherwise(F.array().cast("array<struct<text:string,loss:boolean>>")), F.array(piece(t, r.role == loss_role))))),
-        F.array(piece(F.lit(STOP + "\n"), no)),
-    )
-    out = runs.select(F.col("_conv").alias(conv), F.flatten(F.transform("_run", block)).alias("segments"))
+    opening = lambda t: F.concat(F.lit(START), t.role, F.lit(BODY))
+
+    def pieces(t: Column, i: Column) -> Column:
+        same = F.get(F.col("_t"), i - 1).role == t.role
+        before = F.when(i == 0, opening(t)).when(same, F.lit(NEXT)).otherwise(F.concat(F.lit(STOP + "\n"), opening(t)))
+        return F.array(piece(before, F.lit(False)), piece(t.text, t.role == loss_role))
+
+    every = F.concat(F.flatten(F.transform("_t", pieces)), F.array(piece(F.lit(STOP + "\n"), F.lit(False))))
+    out = turns.select(F.col("_conv").alias(conv), every.alias("segments"))
     return out.select(conv, F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, digest, langid, mixing, multi_index, quality, toxicity
+from . import bpe, chat, digest, langid, licenses, mixing, multi_index, quality, toxicity
 from ..session import table
 
 
@@ -64,6 +64,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -72,5 +76,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_multi_index": op1_multi_index, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op6_digest": op6_digest, "op7_mix": op7_mix, "op9_quality": op9_quality, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_multi_index": op1_multi_index, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op6_digest": op6_digest, "op7_mix": op7_mix, "op8_licenses": op8_licenses, "op9_quality": op9_quality, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op4_chat": OP4_SQL}
