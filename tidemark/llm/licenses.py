@@ -48,17 +48,24 @@ def shingles(ws: Column) -> Column:
     return F.when(last >= 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def _windows(ws: Column, step: int) -> Column:
-    """array<struct<at, s, t>>: a window's first word and its two shingles' hashes (equal at the end)."""
-    last = F.size(ws) - SHINGLE
-    # single elements, as slice() copies the whole array every time
-    at = lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(SHINGLE)])
-    pair = lambda i: F.struct(i.alias("at"), at(i).alias("s"), at(F.least(i + 1, last)).alias("t"))
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), pair))
+def _windows(df: DataFrame, step: int) -> DataFrame:
+    """``df``, with word arrays ``_w``, and its windows: first word ``at``, hashes ``s`` and ``t`` of its two shingles (equal at the end).
+
+    Words are read one by one, as slice() copies the whole array; explode and inline stay in generated code,
+    and inline keeps the hashes from being computed anew for every band.
+    """
+    last = F.size("_w") - SHINGLE
+    shingle = lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(SHINGLE)])
+    every = df.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))))
+    return every.select("*", F.inline(F.array(F.struct(shingle(F.col("at")).alias("s"), shingle(F.least(F.col("at") + 1, last)).alias("t")))))
+
 
+def _band(k: int) -> Column:
+    return F.least(F.xxhash64(F.lit(k), "s"), F.xxhash64(F.lit(k), "t"))
 
-def _band(w: Column, k: int) -> Column:
-    return F.least(F.xxhash64(F.lit(k), w["s"]), F.xxhash64(F.lit(k), w["t"]))
+
+def _bands() -> Column:
+    return F.inline(F.array(*[F.struct(F.lit(k).alias("k"), _band(k).alias("b")) for k in range(BANDS)]))
 
 
 def templates(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
@@ -72,25 +79,21 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rows=TEMPLATE
     """One row for each document and template found in it: key, license, containment, at (first word of the region's best hit)."""
     spark = docs.sparkSession
     known = templates(spark, rows)
-    own = known.select("license", F.explode(F.concat(_windows(F.col("_w"), 1))).alias("w"))
-    bands = own.select("license", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _band(F.col("w"), k).alias("b")) for k in range(BANDS)])).alias("x")).select("license", "x.k", "x.b").distinct()
+    bands = _windows(known, 1).select("license", _bands()).distinct()
     values: list[set[int]] = [set() for _ in range(BANDS)]
     for r in bands.collect():  # bounded by the templates' words
         values[r["k"]].add(r["b"])
 
-    def retrieved(w: Column) -> Column:
-        hit = F.lit(False)
-        for k in range(BANDS):
-            hit = hit | _band(w, k).isin(sorted(values[k]))
-        return hit
-
+    retrieved = F.lit(False)
+    for k in range(BANDS):
+        listed = ", ".join(f"{v}L" for v in sorted(values[k]))
+        retrieved = retrieved | F.expr(f"least(xxhash64({k}, s), xxhash64({k}, t)) IN ({listed})")
     span = max(len(t.split()) for _, t in rows) + 32  # words on either side that a template can reach
-    cut = docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("_w"))
-    hits = cut.select("_key", "_w", F.explode(F.filter(_windows(F.col("_w"), 2), retrieved)).alias("w"))
-    first = F.greatest(F.col("w.at") - span, F.lit(0))
-    near = hits.select("_key", "w", first.alias("_first"), F.slice("_w", first + 1, F.col("w.at") - first + span).alias("_region"))
-    found = near.withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _band(F.col("w"), k).alias("b")) for k in range(BANDS)])))
-    found = found.join(F.broadcast(bands), (F.col("x.k") == bands["k"]) & (F.col("x.b") == bands["b"])).groupBy("_key", "license", "w.at").agg(F.first("_first").alias("_first"), F.first("_region").alias("_region"))
+    hits = _windows(docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("_w")), 2).where(retrieved)
+    first = F.greatest(F.col("at") - span, F.lit(0))
+    near = hits.select("_key", "at", "s", "t", first.alias("_first"), F.slice("_w", first + 1, F.col("at") - first + span).alias("_region"))
+    found = near.select("_key", "at", "_first", "_region", _bands())
+    found = found.join(F.broadcast(bands), ["k", "b"]).groupBy("_key", "license", "at").agg(F.first("_first").alias("_first"), F.first("_region").alias("_region"))
     tested = found.join(F.broadcast(known.select("license", "n", "_shingles")), "license")
     offset = F.greatest(F.col("at") - F.col("_first") - F.col("n"), F.lit(0))
     around = F.slice("_region", offset + 1, F.col("at") - F.col("_first") - offset + F.col("n") + SHINGLE)

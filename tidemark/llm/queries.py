@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, digest, langid, licenses, mixing, multi_index, quality, toxicity
+from . import bpe, chat, digest, langid, licenses, mixing, multi_index, ngram_join, quality, toxicity
 from ..session import table
 
 
@@ -55,6 +55,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -76,5 +80,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_multi_index": op1_multi_index, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op6_digest": op6_digest, "op7_mix": op7_mix, "op8_licenses": op8_licenses, "op9_quality": op9_quality, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_multi_index": op1_multi_index, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_ngram_join": op5_ngram_join, "op6_digest": op6_digest, "op7_mix": op7_mix, "op8_licenses": op8_licenses, "op9_quality": op9_quality, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op4_chat": OP4_SQL}

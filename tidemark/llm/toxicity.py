@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, fold
 
-MAX_DOCS = 8_000  # labelled rows that training reads
+MAX_DOCS = 6_000  # labelled rows that training reads
 MAX_TERMS = 1_024  # terms with weights
 LEAST = 6.0  # standard deviations above the base rate that a term needs
 FACTORS, STEPS = 8, 150
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     # at most max_docs rows of two numbers
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(marked), key).select("_t", "_y")
     rows = add_columns(rows, ["_t"], {"t": "binary"}, lambda: make, ["_y"]).collect()
-    return fit([(np.frombuffer(bytes(r["t"]), dtype=np.int32).astype(np.int64), int(r["_y"])) for r in sorted(rows, key=lambda r: (bytes(r["t"]), r["_y"]))])
+    return fit([(np.frombuffer(bytes(r["t"]), dtype=np.int32), int(r["_y"])) for r in sorted(rows, key=lambda r: (bytes(r["t"]), r["_y"]))])
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
