@@ -11,14 +11,14 @@ from . import bpe, chat, digest, langid, licenses, mixing, multi_index, ngram_jo
 from ..session import table
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), _vocabulary())
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
