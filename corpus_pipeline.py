@@ -1,25 +1,62 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and reread by the next."""
+"""The corpus pipeline over the documents table: each stage is written as Parquet and reread by the next.
+
+Language ID drops documents without a language, the quality classifier drops what it rejects, one document of each
+group of near-duplicates stays, sources are mixed to their target weights, and what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, langid, mixing, ngram_join, quality, queries
+from tidemark.llm.common import shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_LANGUAGE = 0.5  # mean posterior below which a text has no language of its own
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose predicted language is likelier than not."""
+    docs = docs.select(*COLUMNS)
+    kept = langid.predict(docs, langid.train(docs), keep=COLUMNS)
+    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps."""
+    docs = docs.select(*COLUMNS)
+    return quality.score(docs, quality.train(docs)[0], keep=COLUMNS).where(F.col("score") >= quality.KEEP).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near-duplicates (five words, similarity 0.8); rows with a null id stay."""
+    docs = docs.select(*COLUMNS)
+    groups = ngram_join.jaccard_components(docs)
+    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
 
-from tidemark.llm import bpe, queries
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.copies(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document's whole text."""
-    return bpe.encode(docs.select(*COLUMNS), queries._vocabulary())
+    """The token ids of every whole text (packed little-endian unsigned 32-bit integers) and their number."""
+    coded = bpe.encode(docs.select(*COLUMNS), queries.vocabulary(), out="token_ids")
+    return coded.select("doc_id", "lang", "source", "n_chars", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids")
 
 
-STAGES = [("bpe", bpe_stage)]
-ORACLE_SQL = None  # the stages' models and merges have no SQL form; see tests/llm
+STAGES = [("language_id", language_stage), ("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
+ORACLE_SQL = None  # trained models, links and merges have no SQL form; tests/llm holds the stages against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``sf_dir``'s documents; what the stages hand on lies in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    at = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
