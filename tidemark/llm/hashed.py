@@ -49,7 +49,7 @@ class WordScores:
         self.rows = np.zeros((0, table.shape[1]), dtype=np.float32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        new = list(set(words) - self.known.keys())
+        new = list(set(words).difference(self.known))
         if new:
             if len(self.known) + len(new) > CACHE and self.known:
                 self.known, self.rows = {}, self.rows[:0]

@@ -58,7 +58,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        new = set(words) - known.keys()
+        new = set(words).difference(known)
         if new:
             if len(known) + len(new) > WORDS:
                 known.clear()
