@@ -13,6 +13,7 @@ from ..operators import captions as C
 from ..operators import catalog as K
 from ..operators import events as E
 from ..operators import timeseries as T
+from ..operators.overtones import match_harmonics
 from ..session import table
 from . import bindings as B
 
@@ -485,14 +486,6 @@ def match(spark, d) -> DataFrame:
     return match_harmonics(B.vectors(spark, d).select("track", "frame", F.lit(150.0).alias("f0"), F.transform("spec", lambda m, j: F.struct(((j + 1) * 40.0).alias("freq"), m.alias("mag"))).alias("peaks")))
 
 
-def match_harmonics(frames: DataFrame, top: int = 30, most: int = 16, within_cents: float = 50.0) -> DataFrame:
-    """Nearest-peak join of each frame's ideal harmonics (columns track, frame, f0, peaks array<struct<freq, mag>>), inside the row."""
-    best = F.slice(F.sort_array(F.transform("peaks", lambda p: F.struct(p.mag.alias("mag"), p.freq.alias("freq"))), asc=False), 1, top)
-    x = frames.withColumn("_p", best).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    near = F.array_min(F.transform("_p", lambda p: F.struct(F.abs(1200 * F.log2(p.freq / (F.col("n") * F.col("f0")))).alias("cents"), p.freq.alias("freq"), p.mag.alias("mag"))))
-    return x.withColumn("m", near).where(F.col("m.cents") <= within_cents).select("track", "frame", F.col("n").cast("long").alias("n"), F.col("m.mag").alias("magnitude"), F.col("m.cents").alias("cents"))
-
-
 HARM = """vec AS (SELECT label::BIGINT AS track, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding FROM embeddings),
 pk AS (SELECT track, frame, (j + 1) * 40.0::DOUBLE AS freq, abs(embedding[j + 1])::DOUBLE AS mag FROM vec, range(64) AS x(j) QUALIFY row_number() OVER (PARTITION BY track, frame ORDER BY mag DESC, freq DESC) <= 30),
 hm AS (SELECT track, frame, n, mag AS magnitude, abs(1200 * log2(freq / (n * 150.0::DOUBLE))) AS cents FROM pk, range(1, 17) AS y(n) QUALIFY row_number() OVER (PARTITION BY track, frame, n ORDER BY cents, freq) = 1),
