@@ -9,7 +9,7 @@ from .common import cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Every node's larger (large) or smaller-or-own neighbours are tied to the least of its neighbourhood."""
+    """Every node's larger (large) or smaller-or-own neighbours are tied to the least of its neighbourhood; u > v in and out."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     near = both.join(least, "u")
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), False))
+        now = cut(_star(_star(now, True), False).distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -61,9 +61,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
         return counts.astype(np.int64).copy()
     take = np.minimum(have, (have * (goal / whole)).astype(np.int64))
     left = goal - int((take * size).sum())
-    for floor in (WINDOW, 0) if left > WINDOW else ():
+    for floor, enough in ((WINDOW, 2 * WINDOW), (0, 4 * WINDOW)):  # the second only where all that is left is larger
         for i, n in enumerate(size):
-            if left <= WINDOW:
+            if left <= enough:
                 break
             k = min(int(have[i] - take[i]), max(0, left - floor) // int(n))
             take[i] += k

@@ -12,7 +12,8 @@ bitmaps, their range of sizes and the most shingles that bitmaps hide; the dual
 nodes when their sizes are too far apart or the largest possible overlap is too small, or when all their members
 are in one component already. Surviving pairs are compared exactly. A block of more than CHUNK nodes is cut into
 chunks: first each chunk alone, then one node of every component found, then all chunks against the nodes
-outside the block's largest component, so no task holds more than two chunks and no links are lost.
+outside the block's largest component, so no task holds more than two chunks and no links are lost. Components are
+carried as labels through these steps, and only what the last one finds needs connecting over the cluster.
 
 Results for odd input: null, empty and blank texts have no shingles, link with nothing and are their own
 component; rows with equal ids are rows of their own; a null id stays null and never names a component unless all
@@ -214,16 +215,29 @@ def join_block(sets: list[np.ndarray], groups: np.ndarray, percent: int, other:
     return links
 
 
+def _labels(members: DataFrame, sets: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """(node, label) of every member (node) of the groups ``by``: the least node that its group's links reach."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy()
+        label = np.arange(len(node))
+        if len(node) > 1:
+            for i, j in join_block([np.frombuffer(b, np.uint64) for b in pdf["s"]], label.copy(), percent):
+                label[label == label[j]] = label[i]
+        least = pd.Series(node).groupby(label).transform("min")
+        return pd.DataFrame({"node": node, "label": least.to_numpy()})
+
+    return members.join(sets, "node").groupBy(*by).applyInPandas(run, "node long, label long")
+
+
 def _links(members: DataFrame, sets: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Links (u, v) within the groups ``by`` of members (node, comp, flag)."""
+    """Links (u, v) between the components ``comp`` of members (node, comp, flag) in the groups ``by``, with a flagged node in each."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["flag", "node"], ascending=[False, True]).drop_duplicates("node")
-        if len(pdf) < 2:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        found = join_block([np.frombuffer(b, np.uint64) for b in pdf["s"]], pdf["comp"].to_numpy(), percent, pdf["flag"].to_numpy(bool))
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["u", "v"], dtype="int64")
+        comp = pdf["comp"].to_numpy()
+        found = join_block([np.frombuffer(b, np.uint64) for b in pdf["s"]], comp, percent, pdf["flag"].to_numpy(bool)) if len(pdf) > 1 else []
+        return pd.DataFrame({"u": comp[[i for i, _ in found]] if found else [], "v": comp[[j for _, j in found]] if found else []}, dtype="int64")
 
     return members.join(sets, "node").groupBy(*by).applyInPandas(run, "u long, v long")
 
@@ -279,28 +293,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     counts = blocks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
     placed = cut(blocks.join(counts, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
-    first = placed.select("node", "block", "chunk", F.col("node").alias("comp"), F.lit(True).alias("flag"))
-    links = cut(_links(first, sets, ["block", "chunk"], percent))
-    large = cut(placed.where("chunks > 1"))
+    label = cut(_labels(placed.select("node", "block", "chunk"), sets, ["block", "chunk"], percent))
+    large = cut(placed.where("chunks > 1").join(label, "node"))
     if not large.isEmpty():
-        def known(found: DataFrame) -> DataFrame:
-            label = components(found)
-            return large.join(label, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-
-        heads = known(links).groupBy("block", "comp").agg(F.min("node").alias("node"))
-        per = heads.groupBy("block").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("parts"))
-        heads = heads.join(per, "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
-        links = cut(links.unionByName(_links(heads.select("node", "block", "part", F.col("node").alias("comp"), F.lit(True).alias("flag")), sets, ["block", "part"], percent)))
-        state = cut(known(links))
-        main = state.groupBy("block", "comp").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        minor = state.join(main, "block").where("comp <> main")
-        per = minor.groupBy("block").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("parts"))
+        parts = F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("parts")
+        heads = large.select("block", F.col("label").alias("node")).distinct()
+        heads = heads.join(heads.groupBy("block").agg(parts), "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+        merged = cut(_labels(heads.select("node", "block", "part"), sets, ["block", "part"], percent).select(F.col("node").alias("label"), F.col("label").alias("comp")))
+        state = cut(large.join(merged, "label").select("node", "block", "chunk", "chunks", "comp"))
+        main = state.groupBy("block", "comp").agg(F.count("*").alias("c")).groupBy("block").agg(F.max(F.struct("c", "comp")).alias("m"))
+        minor = state.join(main.select("block", F.col("m.comp").alias("main")), "block").where("comp <> main")
+        per = minor.groupBy("block").agg(parts)
         minor = minor.join(per, "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
         flagged = minor.select("node", "block", "comp", "part", every.alias("chunk"), F.lit(True).alias("flag"))
         plain = state.join(per, "block").select("node", "block", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", F.lit(False).alias("flag"))
-        links = cut(links.unionByName(_links(flagged.unionByName(plain), sets, ["block", "chunk", "part"], percent)))
-    label = components(links)
+        found = components(_links(flagged.unionByName(plain), sets, ["block", "chunk", "part"], percent)).withColumnRenamed("node", "comp")
+        whole = state.join(found, "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
+        label = label.join(whole, "node", "left").select("node", F.coalesce("root", "label").alias("root"))
+    else:
+        label = label.withColumnRenamed("label", "root")
     named = nodes.select("node", "id").join(label, "node")
     name = named.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = label.join(name, "root").select("node", "component_id")
