@@ -103,6 +103,8 @@ def test_analysis_files(spark, tmp_path):
     (d / "x_melody.json").write_text("{broken")
     r = A.load_analysis(spark, str(tmp_path)).select("track", A.metric("report", "tempo_bpm").alias("t"), A.metric("perception", "mean_momentum").alias("m"), F.col("harmony").isNull().alias("h"), F.col("melody").isNull().alias("b")).first()
     assert tuple(r) == ("x", 120.0, 0.85, True, True)
+    wide = K.rebuild(A.load_analysis(spark, str(tmp_path)), A.metric).first()
+    assert (wide.track, wide.tempo_bpm, wide.mean_momentum, wide.mean_tension) == ("x", 120.0, 0.85, None)
     with pytest.raises(ValueError):
         A.resolve_template("nosuch")
     assert A.resolve_template("none") is None
@@ -123,3 +125,12 @@ def test_prompt_sections(spark):
     assert "Duration: 3:20 (200.0s)" in text and "minor-leaning" in text and "percussive dominant" in text
     got = spark.createDataFrame([('{"found": true, "extract": "E"}',), ('{"found": false, "extract": "E"}',), ("plain",)], "c string").select(P.context_text(F.col("c"))).collect()
     assert [g[0] for g in got] == ["E", None, "plain"]
+
+
+def test_cards_and_labels(spark):
+    v = spark.createDataFrame([("a", "tempo_bpm", 120.0), ("b", "tempo_bpm", 90.0), ("a", "mean_tension", 0.5)], "track string, metric string, value double")
+    got = {r.track: r.card for r in K.summary_cards(v).collect()}
+    assert "Tempo: 120.000 (rank 2/2, z=+1.0)" in got["a"] and got["a"].index("Tension: 0.500") < got["a"].index("Tempo")
+    x = spark.createDataFrame([("silence", None, 2.0, -60.0, None, None), ("momentum_drop", 0.4, None, None, 0.9, 0.5), ("pattern_break", 0.25, None, None, None, None)], "type string, intensity double, duration double, depth_db double, `from` double, `to` double")
+    texts = [r[0] for r in x.select(E.event_label(*[F.col(c) for c in x.columns])).collect()]
+    assert texts == ["2.0s silence at -60dB", "momentum drop (0.900 → 0.500)", "pattern break (intensity 0.250)"]

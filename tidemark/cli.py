@@ -141,7 +141,11 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(f"{r.track}: {r.reason} ({r.duration:.1f} s)" for r in rejects))
     elif a.verb == "catalog":
         v = K.long_form(spark.read.parquet(f"{a.out}/catalog"))
-        (K.rank(v).where(F.col("track") == a.track) if a.track else K.stats(v)).orderBy("metric").show(200, False)
+        if a.track:
+            card = K.summary_cards(v).where(F.col("track") == a.track).first()
+            print(card["card"] if card else f"{a.track!r} is not in the catalog")
+        else:
+            K.stats(v).orderBy("metric").show(200, False)
     elif a.verb == "compare":
         compare(spark, a.out, *a.tracks).show(200, False)
     elif a.verb == "frames":

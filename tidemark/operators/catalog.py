@@ -112,3 +112,45 @@ def save(catalog: DataFrame, path: str) -> None:
     """The catalog and, beside it, its statistics."""
     catalog.write.mode("overwrite").parquet(path)
     stats(long_form(catalog)).write.mode("overwrite").parquet(f"{path}.stats")
+
+
+#: The metrics that a catalog row keeps of each module, and the labels of those that a card shows; fixed values.
+INDEXED = {
+    "perception": ["mean_momentum", "mean_pattern_lock", "total_silence_sec", "silence_pct", "active_duration_sec", "pattern_break_count", "breath_positive_pct", "breath_negative_pct", "breath_sustain_pct"],
+    "harmony": ["mean_temperament_alignment", "mean_consonance_series", "mean_tension", "mean_chroma_flux", "mean_tonal_stability", "mean_major_minor", "key_confidence"],
+    "melody": ["overall_range_semitones", "mean_vocal_presence", "contour_ascending_pct", "contour_descending_pct", "mean_direction"],
+    "overtone": ["mean_series_fit", "mean_richness", "mean_inharmonicity"],
+    "report": ["duration_seconds", "tempo_bpm", "beat_regularity", "percussion_ratio", "spectral_centroid_mean_hz"],
+}
+CARD = {
+    "mean_pattern_lock": "Pattern Lock", "mean_momentum": "Momentum", "silence_pct": "Silence %", "active_duration_sec": "Active Duration", "mean_temperament_alignment": "Temperament Alignment",
+    "mean_consonance_series": "Series Consonance", "mean_tension": "Tension", "mean_chroma_flux": "Chroma Flux", "overall_range_semitones": "Melodic Range", "mean_vocal_presence": "Vocal Presence",
+    "mean_series_fit": "Overtone Fit", "mean_richness": "Overtone Richness", "beat_regularity": "Beat Regularity", "key_confidence": "Key Confidence", "tempo_bpm": "Tempo",
+}
+
+
+def summary_cards(values: DataFrame) -> DataFrame:
+    """(track, card): a line for each card metric with its value, rank and z-score; metrics of one track alone show the value."""
+    r = rank(values).select("track", "metric", F.format_string(" (rank %d/%d, z=%+.1f)", "rank", "of", "z_score").alias("_r"))
+    label = F.create_map(*[F.lit(x) for kv in CARD.items() for x in kv])
+    place = F.array_position(F.array(*map(F.lit, CARD)), F.col("metric"))
+    x = values.where(F.col("metric").isin(list(CARD))).join(r, ["track", "metric"], "left")
+    line = F.concat(F.lit("  "), label[F.col("metric")], F.format_string(": %.3f", "value"), F.coalesce("_r", F.lit("")))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), line.alias("x")))), lambda s: s.x)
+    return x.groupBy("track").agg(F.concat(F.lit("=== "), F.first("track").cast("string"), F.lit(" - catalog position ===\n\n"), F.array_join(lines, "\n")).alias("card"))
+
+
+def rebuild(analysis: DataFrame, metric) -> DataFrame:
+    """One wide row per track from (track, one variant for each module); ``metric(module, name)`` reads a number of a module's document.
+
+    Tracks without any module are left out; older names count where the new ones lack.
+    """
+    modules = [c for c in INDEXED if c in analysis.columns]
+    some = analysis.where(F.coalesce(*[F.col(m).isNotNull().cast("int") for m in modules], F.lit(0)).isNotNull() & F.greatest(*[F.col(m).isNotNull().cast("int") for m in modules], F.lit(0)).cast("boolean"))
+    older = {"mean_pattern_lock": "mean_surprise", "mean_temperament_alignment": "mean_consonance", "pattern_break_count": "moment_count"}
+    cols = {n: F.coalesce(metric(m, n), metric(m, older[n])) if n in older else metric(m, n) for m in modules for n in INDEXED[m]}
+    if "perception" in modules:
+        quiet = F.coalesce(metric("perception", "silence_pct"), F.lit(0.0)) >= ACTIVE_FROM
+        for n in ("mean_momentum", "mean_pattern_lock"):
+            cols[n] = F.when(quiet, F.coalesce(metric("perception", f"{n}_active"), cols[n])).otherwise(cols[n])
+    return some.select("track", *[c.alias(n) for n, c in cols.items()])

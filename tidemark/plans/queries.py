@@ -648,3 +648,53 @@ def prompt_packet(spark, d):
     lines = c.groupBy("track").agg(P.caption_section(F.sort_array(F.collect_list(F.struct("seg", "ts", "text")))).alias("lyrics"), F.count("*").alias("n"))
     x = lines.withColumn("header", P.header(F.lit(None).cast("string"), F.col("track").cast("string"), F.lit(None).cast("string"))).withColumn("metrics", F.concat(F.lit(P.METRICS_HEAD), F.format_string("Turns: %d", "n")))
     return x.select(F.col("track").alias("conv_id"), P.packet("lyrics", header="header", metrics="metrics", lyrics="lyrics").alias("prompt"))
+
+
+@query(f"""WITH {HOURS}, {GRID}, {MOMENTUM}, {EVENTS} SELECT track, time, type, CASE WHEN type = 'silence' THEN 'silence' ELSE replace(type, '_', ' ') END AS label FROM un""")
+def event_labels(spark, d):
+    text = E.event_label(*[F.col(c) for c in ("type", "intensity", "duration", "depth_db", "from", "to")])
+    return _union(spark, d).select("track", "time", "type", F.regexp_extract(text, "(silence|momentum drop|momentum gain)", 1).alias("label"))
+
+
+@query()
+def frame_groups(spark, d):
+    return E.description_groups(_plan(spark, d))
+
+
+@query(f"""WITH {HOURS}, {GRID}, {MOMENTUM}, m AS (SELECT track, t AS time, round(1 - momentum, 6) AS x FROM stream)
+SELECT track, time, 'pattern_break' AS type, x AS intensity FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY track ORDER BY x DESC, time) <= 5) WHERE x > 0.2""")
+def pattern_breaks(spark, d):
+    b = B.hours(spark, d)
+    x = T.momentum(b, points(b)).select("track", "t", F.round(1 - F.col("momentum"), 6).alias("disruption"))
+    return E.pattern_breaks(x)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Artist ' || page_id::VARCHAR ELSE 'uploader' END AS artist, 'Song ' || page_id::VARCHAR AS title FROM pages")
+def artist_title(spark, d):
+    n = F.col("page_id").cast("string")
+    shown = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Artist "), n, F.lit(" — Song "), n, F.lit(" (Official)"))).otherwise(F.concat(F.lit("Song "), n, F.lit(" [HD]")))
+    return table(spark, d, "pages").select("page_id", S.artist_title(shown, F.lit("uploader")).alias("x")).select("page_id", "x.artist", "x.title")
+
+
+@query("SELECT p_partkey, FALSE AS same, len(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 2)) > 0 AS other FROM part")
+def wrong_article(spark, d):
+    x = table(spark, d, "part")
+    return x.select("p_partkey", S.wrong_article(F.col("p_name"), F.col("p_name")).alias("same"), S.wrong_article(F.col("p_name"), F.lit("zz")).alias("other"))
+
+
+@query(f"WITH {CAT} SELECT metric, CASE WHEN abs(b - a) < 0.0005 THEN '  =' WHEN b > a THEN '>' ELSE '<' END AS arrow FROM (SELECT coalesce(x.metric, y.metric) AS metric, x.value AS a, y.value AS b FROM (SELECT * FROM long WHERE track = 1) x JOIN (SELECT * FROM long WHERE track = 2) y ON x.metric = y.metric)")
+def format_delta(spark, d):
+    x = K.compare(K.long_form(B.catalog(spark, d)), 1, 2).where("found = 'both'").withColumn("s", S.format_delta(F.col("a"), F.col("b")))
+    return x.select("metric", F.when(F.col("s") == "  =", F.col("s")).otherwise(F.substring("s", 1, 1)).alias("arrow"))
+
+
+@query(f"WITH {HOURS}, {FRAMES}, {SILENCE}, {GRID} SELECT g.track, g.i, s.depth_db AS depth FROM grid g JOIN sil s ON s.track = g.track AND s.\"start\" <= g.t AND g.t <= s.\"end\"")
+def silence_flags(spark, d):
+    b = B.hours(spark, d)
+    return T.in_silence(points(b), _silences(spark, d)).where("silence").select("track", "i", F.col("silence_depth_db").alias("depth"))
+
+
+@query(f"WITH {HOURS} SELECT track, type, n FROM (SELECT event_type AS track, CASE WHEN value > 100 THEN 'loud' ELSE 'soft' END AS type, count(*)::BIGINT AS n FROM events GROUP BY ROLLUP (1, 2))")
+def event_rollup(spark, d):
+    x = B.hours(spark, d).withColumn("type", F.when(F.col("value") > 100, "loud").otherwise("soft"))
+    return x.rollup("track", "type").agg(F.count("*").alias("n"))
