@@ -69,7 +69,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("at")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,30 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+e AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.c) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, s.s
+"""
+
+_quoted = lambda t: t.replace("'", "''")
+OP8_SQL = r"""
+WITH t AS (SELECT * FROM (VALUES %s) AS v(license, text)),
+w AS (SELECT doc_id AS k, NULL AS license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT NULL, license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM t),
+g AS (SELECT k, license, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS g FROM w WHERE len(w) >= 5),
+n AS (SELECT license, count(*) AS n FROM g WHERE license IS NOT NULL GROUP BY license)
+SELECT d.k AS doc_id, t.license, count(*) / any_value(n.n) AS containment FROM g d JOIN g t ON d.g = t.g AND d.license IS NULL AND t.license IS NOT NULL JOIN n ON n.license = t.license
+GROUP BY d.k, t.license HAVING count(*) / any_value(n.n) >= 0.8
+""" % ", ".join(f"('{n}', '{_quoted(t)}')" for n, t in licenses.TEMPLATES)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_multi_index": op1_multi_index, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_ngram_join": op5_ngram_join, "op6_digest": op6_digest, "op7_mix": op7_mix, "op8_licenses": op8_licenses, "op9_quality": op9_quality, "op10_langid": op10_langid}
-SQL: dict[str, str] = {"op4_chat": OP4_SQL}
+SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op5_ngram_join": OP5_SQL, "op8_licenses": OP8_SQL}
