@@ -92,12 +92,12 @@ def near_copies(seed=0, groups=6, strangers=40):
     return [out[i] for i in rng.permutation(len(out))]
 
 
-@pytest.mark.parametrize("n, percent, chunk", [(3, 90, 2000), (5, 80, 2000), (3, 90, 7), (2, 80, 5)])
-def test_join_is_brute_force(spark, monkeypatch, n, percent, chunk):
+@pytest.mark.parametrize("n, percent, chunk, keys", [(3, 90, 2000, J.Keys), (5, 80, 2000, J.Bands), (3, 90, 7, J.Keys), (2, 80, 5, J.Keys)])
+def test_join_is_brute_force(spark, monkeypatch, n, percent, chunk, keys):
     monkeypatch.setattr(J, "CHUNK", chunk)
     texts = near_copies(n)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("keys", F.lit("x"))
-    got = J.jaccard_components(df, words=n, percent=percent).orderBy("doc_id").collect()
+    got = J.jaccard_components(df, words=n, percent=percent, keys=keys).orderBy("doc_id").collect()
     sizes, comps = brute(texts, n, percent)
     assert [r.n_shingles for r in got] == sizes
     assert [r.component_id for r in got] == comps
@@ -111,9 +111,10 @@ def test_join_odd_ids(spark):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_a_key(percent):
+@pytest.mark.parametrize("kind", [J.Keys, J.Bands])
+def test_linked_sets_share_a_key(percent, kind):
     rng = np.random.default_rng(percent)
-    keys = J.Keys(percent)
+    keys = kind(percent)
     for size in [1, 2, 3, 5, 8, 9, 10, 13, 19, 20, 21, 40, 90, 200, 1000]:
         for _ in range(30):
             s = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))

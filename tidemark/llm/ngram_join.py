@@ -5,7 +5,8 @@ b that link differ in at most d = (a + b) (100 - percent) / (100 + percent) shin
 into more than d parts, they agree on all of at least one part: every node's parts are its keys, cut by a scheme
 for its size class (and for the class below, if it can link there). Parts without shingles agree everywhere, so
 schemes have spare parts, and only a node with more empty parts than those emits keys for them. Nodes that share
-keys, directly or through others, form a block; no link leaves a block, and blocks lose no link.
+keys, directly or through others, form a block; no link leaves a block, and blocks lose no link. (MinHash bands
+can take the keys' place, where a low percentage asks for too many parts.)
 
 Each block is joined with itself by a signature tree. Nodes of the tree hold the OR of their members' shingle
 bitmaps, their range of sizes and the most shingles that bitmaps hide; the dual traversal drops a pair of tree
@@ -118,6 +119,33 @@ class Keys:
         return keys
 
 
+class Bands:
+    """MinHash band keys of a shingle set: ROWS rows a band, and bands until a link at ``percent`` is missed with a chance below MISS.
+
+    Their number does not grow with the set, where pigeonhole keys at low percentages do.
+    """
+
+    ROWS, MISS = 5, 1e-9
+
+    def __init__(self, percent: int):
+        self.bands = int(np.ceil(np.log(self.MISS) / np.log(1 - min(0.999, percent / 100) ** self.ROWS)))
+        n = np.arange(2 * self.ROWS * self.bands, dtype=np.uint64) + np.uint64(1)
+        self.a, self.b = mix(n[::2]) | np.uint64(1), mix(n[1::2])
+        self.label = mix(np.arange(self.bands, dtype=np.uint64) + np.uint64(1 << 40))
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return np.zeros(0, np.uint64)
+        least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(s), 1024):
+            least = np.minimum(least, ((s[at : at + 1024, None] ^ self.b) * self.a).min(0))
+        rows = mix(least).reshape(self.bands, self.ROWS)
+        out = self.label.copy()
+        for i in range(self.ROWS):
+            out = mix(out + rows[:, i])
+        return out
+
+
 def _bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Bitmap of each set (about four bits a shingle of the largest), and the shingles that each bitmap hides."""
     bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(map(len, sets)) + 1)), 6, 15))
@@ -242,14 +270,15 @@ def _links(members: DataFrame, sets: DataFrame, by: list[str], percent: int) ->
     return members.join(sets, "node").groupBy(*by).applyInPandas(run, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, keys: type = Keys) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the least key reachable by links, itself included).
 
-    Two documents link when 100 * (shingles in both) >= ``percent`` * (shingles in either).
+    Two documents link when 100 * (shingles in both) >= ``percent`` * (shingles in either). Blocks come from ``keys``:
+    Keys, which lose nothing, or Bands, which are fewer at low percentages and miss a link with a chance below 1e-9.
     """
 
     def start():
-        shingle, keys = Shingler(words), Keys(percent)
+        shingle, key_of = Shingler(words), keys(percent)
 
         def make(texts):
             n, node, packed = [], [], []
@@ -257,7 +286,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 s = shingle(t)
                 n.append(len(s))
                 node.append(int(mix(np.add.reduce(mix(s ^ np.uint64(0x2545F4914F6CDD1D)), keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else None)
-                packed.append(keys(s).view(np.int64).tobytes())
+                packed.append(key_of(s).view(np.int64).tobytes())
             return [n, node, packed]
 
         return make
