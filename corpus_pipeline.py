@@ -35,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows repeated with their id stay once.
     """
     docs = docs.select(*COLUMNS)
-    groups = cut(ngram_join.jaccard_components(docs))
+    groups = cut(ngram_join.jaccard_components(docs, keys=ngram_join.Bands))
     kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
     repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
