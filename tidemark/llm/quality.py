@@ -13,6 +13,7 @@ gives no rows; no label, language, source or id is read.
 from __future__ import annotations
 
 import operator
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,14 +29,17 @@ BINS = 8
 #: name, the figure is bad from, good up to (or the other way round where bad < good)
 LABELLERS = (
     ("symbols", 0.08, 0.02),  # share of symbol characters
+    ("noise", 0.15, 0.05),  # runs of symbols, and words of one symbol, a word
     ("capitals", 0.5, 0.2),  # share of capitals among ASCII letters
     ("shouts", 0.5, 0.1),  # exclamation and question marks a word
     ("repeats", 0.2, 0.05),  # share of words that repeat their neighbour, or one two places before
     ("distinct", 0.15, 0.4),  # share of distinct words among the first of every 64, so that length matters little
     ("long_words", 14.0, 9.0),  # mean characters a word
-    ("digits", 0.3, 0.1),  # share of digits
-    ("letters", 0.5, 0.75),  # share of letters (and non-ASCII bytes)
+    ("digits", 0.6, 0.4),  # share of digits
+    ("letters", 0.3, 0.5),  # share of letters (and non-ASCII bytes)
 )
+_runs = re.compile(r"[#$%&*@^~<>{}|\\=+_]{2,}").findall
+_BARE = frozenset("#$%&*@^~<>{}|\\=+_-")
 _SYMBOLS = np.frombuffer(b"#$%&*@^~<>{}|\\=+_", dtype=np.uint8)
 
 
@@ -49,6 +53,7 @@ def figures(text: str, words: list[str]) -> list[float]:
     distinct = sum(len(set(words[i : i + 64])) for i in stretches) / n
     return [
         float(b[_SYMBOLS].sum()) / solid,
+        (len(_runs(text)) + sum(map(_BARE.__contains__, words))) / n,
         upper / max(1, upper + lower),
         float(b[33] + b[63]) / n,
         again,
@@ -68,19 +73,19 @@ def votes(x: list[float]) -> str:
 
 
 def em(patterns: dict[str, int]) -> dict[str, float]:
-    """Posterior of good for each vote pattern, by EM with votes independent given the class."""
+    """Posterior of good for each vote pattern, by EM with votes independent given the class; an abstention tells nothing."""
     if not patterns:
         return {}
     keys = sorted(patterns)
     v = np.array([["-0+".index(c) for c in p] for p in keys])
-    onehot = np.eye(3)[v]
+    onehot = np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 1.0]])[v]
     count = np.array([patterns[p] for p in keys], dtype=np.float64)
     # start: a labeller that votes is right four times in five, and one bad vote outweighs the good ones
     q = np.where((v == 0).any(1), 0.1, 0.9)
     for _ in range(ROUNDS):
         like = []
         for w, prior in ((count * q, 0), (count * (1 - q), 1)):
-            seen = (w[:, None, None] * onehot).sum(0) + (np.array([0.2, 0.5, 0.8]) if prior == 0 else np.array([0.8, 0.5, 0.2]))
+            seen = (w[:, None, None] * onehot).sum(0) + (np.array([0.2, 0.8]) if prior == 0 else np.array([0.8, 0.2]))
             like.append(np.log(w.sum() + 1) + (onehot * np.log(seen / seen.sum(1, keepdims=True))).sum((1, 2)))
         q = 1 / (1 + np.exp(np.clip(like[1] - like[0], -50, 50)))
     return dict(zip(keys, q.tolist(), strict=True))
