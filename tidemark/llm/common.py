@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,9 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"  # the contract's word: a run without ASCII white sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set (tests, local mode)."""
+    """The folder that all executors share; one of our own only in local mode without that setting (tests).
+
+    On a cluster without ``spark.checkpoint.dir`` this raises RuntimeError.
+    """
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -33,6 +40,20 @@ def fold(column: str, m: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(m)
 
 
+def fit_apart(rows: DataFrame, fit: Callable, spare: Callable[[], object]):
+    """What ``fit`` makes of ``rows`` (a bounded sample, as one pandas frame), fitted in one task; ``spare()`` of no rows.
+
+    The driver sees the fitted model alone, never the sample, and a lost executor costs one retry.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [pickle.dumps(fit(pdf), protocol=5)]})
+
+    found = rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "model binary").first()
+    return spare() if found is None else pickle.loads(bytes(found["model"]))
+
+
 def add_columns(df: DataFrame, inputs: list[str], made: dict[str, str], start: Callable[[], Callable], keep: list[str] | None = None, rows: int = 256) -> DataFrame:
     """``df`` (its columns in ``keep``, or all) with the columns ``made`` (name: type) that Python makes of ``inputs``.
 

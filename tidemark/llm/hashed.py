@@ -12,14 +12,14 @@ LONGEST = 64  # characters; longer words are read as several
 CACHE = 200_000
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str], grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
     """(place of each feature, the index of its word), for all words at once."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     buf = np.frombuffer(b"".join([b"\x02" + w + b"\x03" for w in raw]), dtype=np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(raw)), np.array([len(w) + 2 for w in raw], dtype=np.int64))
     places = [np.array([zlib.crc32(w) for w in raw], dtype=np.uint32) >> 15]
     owners = [np.arange(len(raw))]
-    for n in GRAMS:
+    for n in grams:
         m = len(buf) - n + 1
         if m <= 0:
             continue
@@ -43,8 +43,8 @@ def pieces(words: list[str]) -> list[str]:
 class WordScores:
     """Summed weights [word, class] of words under a table [PLACES, class]; known words are kept up to CACHE."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    def __init__(self, table: np.ndarray, grams: tuple[int, ...] = GRAMS):
+        self.table, self.grams = table, grams
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, table.shape[1]), dtype=np.float32)
 
@@ -54,7 +54,7 @@ class WordScores:
             if len(self.known) + len(new) > CACHE and self.known:
                 self.known, self.rows = {}, self.rows[:0]
                 new = list(set(words))
-            place, owner = features(new)
+            place, owner = features(new, self.grams)
             made = np.stack([np.bincount(owner, weights=self.table[place, c], minlength=len(new)) for c in range(self.table.shape[1])], axis=1)
             at = len(self.rows)
             self.rows = np.concatenate([self.rows, made.astype(np.float32)])
@@ -62,7 +62,7 @@ class WordScores:
         return self.rows[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def __getstate__(self):
-        return {"table": self.table, "known": {}, "rows": self.rows[:0]}
+        return {"table": self.table, "grams": self.grams, "known": {}, "rows": self.rows[:0]}
 
 
 class Adam:

@@ -19,10 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, cut, fit_apart
 from .hashed import PLACES, Adam, WordScores, features, pieces
 
 MAX_DOCS = 4_000  # documents that train the scorer
+MAX_ENTRIES = 8_000_000  # features of these documents, all together; beyond, fewer documents
+GRAMS = (3,)  # a word's features: itself and its byte triplets, borders included
+SCALE = 1 << 40  # of the hash that draws the sample
 ROUNDS, STEPS = 50, 60
 KEEP = 0.5
 BINS = 8
@@ -104,7 +107,7 @@ class Scorer:
     """A fitted linear scorer."""
 
     def __init__(self, table: np.ndarray, by_bin: np.ndarray, bias: float):
-        self.words, self.by_bin, self.bias = WordScores(table), by_bin, bias
+        self.words, self.by_bin, self.bias = WordScores(table, GRAMS), by_bin, bias
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         words, counts, rest = [], [], []
@@ -121,33 +124,47 @@ class Scorer:
         return [float(x) if k else 0.0 for x, k in zip(1 / (1 + np.exp(-f)), counts, strict=True)]
 
 
-def fit(texts: list[str], labels: list[float]) -> Scorer:
-    """Logistic regression on soft labels."""
-    docs = [(pieces(t.split()), bins(figures(t, t.split())), y) for t, y in sorted(zip(texts, labels, strict=True)) if t.split()]
-    if not docs:
-        return Scorer(np.zeros((PLACES, 1), np.float32), np.zeros(len(LABELLERS) * BINS), 0.0)
-    y = np.array([d[2] for d in docs])
-    vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d[0]])
-    n = np.array([len(d[0]) for d in docs])
-    doc = np.repeat(np.arange(len(docs)), n)
-    place, owner = features(list(vocabulary))
-    in_bins = np.array([d[1] for d in docs])
+def pack(texts: list[str]) -> tuple[list[bytes], list[bytes], list[bytes], list[int]]:
+    """(places, their shares of the text, bins, number of places) of every text: what training knows of it."""
+    places, shares, in_bins, entries = [], [], [], []
+    for t in texts:
+        words = t.split()
+        found = pieces(words)
+        number = {w: i for i, w in enumerate(dict.fromkeys(found))}
+        count = np.bincount(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), minlength=len(number))
+        place, owner = features(list(number), GRAMS)
+        p, at = np.unique(place, return_inverse=True)
+        places.append(p.astype(np.int32).tobytes())
+        shares.append((np.bincount(at, weights=count[owner]) / len(found)).astype(np.float32).tobytes())
+        in_bins.append(np.array(bins(figures(t, words)), np.int32).tobytes())
+        entries.append(len(p))
+    return places, shares, in_bins, entries
+
+
+def fit(places: list[np.ndarray], shares: list[np.ndarray], in_bins: np.ndarray, y: np.ndarray) -> Scorer:
+    """Logistic regression of soft labels on the features of pack()."""
+    n = len(LABELLERS) * BINS
+    table, by_bin, bias = Adam(np.zeros(PLACES, np.float32), 0.02), Adam(np.zeros(n), 0.1), Adam(np.zeros(1), 0.1)
+    if not len(y):
+        return Scorer(table.value[:, None], by_bin.value, 0.0)
+    place, share = np.concatenate(places), np.concatenate(shares)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(p) for p in places])
     weight = np.where(y > 0.5, 0.5 / max(1e-9, y.sum()), 0.5 / max(1e-9, (1 - y).sum()))  # both classes count alike
-    table, by_bin, bias = Adam(np.zeros(PLACES, np.float32), 0.02), Adam(np.zeros(len(LABELLERS) * BINS), 0.1), Adam(np.zeros(1), 0.1)
     for _ in range(STEPS):
-        e = np.bincount(owner, weights=table.value[place], minlength=len(vocabulary))
-        f = bias.value + np.bincount(doc, weights=e[flat], minlength=len(docs)) / n + by_bin.value[in_bins].sum(1)
+        f = bias.value + np.bincount(doc, weights=table.value[place] * share, minlength=len(y)) + by_bin.value[in_bins].sum(1)
         g = (1 / (1 + np.exp(-np.clip(f, -50, 50))) - y) * weight
-        by_word = np.bincount(flat, weights=(g / n)[doc], minlength=len(vocabulary))
-        table.step((np.bincount(place, weights=by_word[owner], minlength=PLACES) + 1e-6 * table.value).astype(np.float32))
-        by_bin.step(np.bincount(in_bins.ravel(), weights=np.repeat(g, in_bins.shape[1]), minlength=len(LABELLERS) * BINS) + 1e-4 * by_bin.value)
+        table.step((np.bincount(place, weights=g[doc] * share, minlength=PLACES) + 1e-6 * table.value).astype(np.float32))
+        by_bin.step(np.bincount(in_bins.ravel(), weights=np.repeat(g, in_bins.shape[1]), minlength=n) + 1e-4 * by_bin.value)
         bias.step(np.array([g.sum()]))
     return Scorer(table.value[:, None], by_bin.value, float(bias.value[0]))
 
 
-def train(docs: DataFrame, text: str = "text", max_docs: int = MAX_DOCS) -> tuple[Scorer, dict[str, float]]:
-    """The scorer, and the posterior of every vote pattern in all of ``docs``."""
+def train(docs: DataFrame, text: str = "text", max_docs: int = MAX_DOCS, max_entries: int = MAX_ENTRIES) -> tuple[Scorer, dict[str, float]]:
+    """The scorer, and the posterior of every vote pattern in all of ``docs``.
+
+    The sample is hashed where it lies and fitted in one task: the driver sees vote counts, the sample's hashes
+    with their numbers of entries, and the model.
+    """
 
     def vote(texts):
         return [[votes(figures(t, w)) if t and (w := t.split()) else None for t in texts]]
@@ -156,10 +173,33 @@ def train(docs: DataFrame, text: str = "text", max_docs: int = MAX_DOCS) -> tupl
     patterns = {r["_v"]: r["n"] for r in voted.where("_v IS NOT NULL").groupBy("_v").agg(F.count("*").alias("n")).collect()}  # at most 3 to the power of the labellers
     posterior = em(patterns)
     total = sum(patterns.values())
-    share = min(1_000_000, int(1_000_000 * max_docs / max(1, total)) + 1)
-    sample = docs.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull() & (F.pmod(F.xxhash64(F.lit(13), "_t"), F.lit(1_000_000)) < share)).distinct()
-    rows = [r["_t"] for r in sample.collect() if r["_t"].split()]
-    return fit(rows, [posterior.get(votes(figures(t, t.split())), 0.5) for t in rows]), posterior
+    share = min(SCALE, int(SCALE * max_docs / max(1, total)) + 1)
+
+    def learn(texts):
+        texts = [t if t.split() else "" for t in texts]
+        solid = [i for i, t in enumerate(texts) if t]
+        out = [[b""] * len(texts), [b""] * len(texts), [b""] * len(texts), [0] * len(texts), [0.0] * len(texts)]
+        for i, *row in zip(solid, *pack([texts[i] for i in solid]), strict=True):
+            for column, x in zip(out, row, strict=False):
+                column[i] = x
+            out[4][i] = posterior.get(votes(figures(texts[i], texts[i].split())), 0.5)
+        return out
+
+    hashed = docs.select(F.col(text).alias("_t"), F.pmod(F.xxhash64(F.lit(13), F.col(text)), F.lit(SCALE)).alias("_h"))
+    sample = hashed.where(F.col("_t").isNotNull() & (F.col("_h") < share))
+    packed = add_columns(sample, ["_t"], {"p": "binary", "s": "binary", "b": "binary", "e": "int", "y": "double"}, lambda: learn, ["_h"])
+    packed = cut(packed.where("e > 0").dropDuplicates(["p", "s", "b"]))
+    sizes = sorted((r["_h"], r["e"]) for r in packed.select("_h", "e").collect())  # about max_docs rows of two numbers
+    held = np.cumsum([e for _, e in sizes])
+    if len(sizes) and held[-1] > max_entries:
+        packed = packed.where(F.col("_h") < sizes[max(1, int(np.searchsorted(held, max_entries)))][0])
+
+    def run(pdf):
+        pdf = pdf.sort_values(["_h", "p"], ignore_index=True)
+        arrays = lambda c, kind: [np.frombuffer(x, kind) for x in pdf[c]]
+        return fit(arrays("p", np.int32), arrays("s", np.float32), np.array(arrays("b", np.int32)), pdf["y"].to_numpy())
+
+    return fit_apart(packed, run, lambda: fit([], [], np.zeros((0, 0), np.int32), np.zeros(0))), posterior
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
