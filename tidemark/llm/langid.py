@@ -6,8 +6,11 @@ documents' languages. Forward-backward gives each word's posterior; a document's
 largest mean posterior over all its words, and that mean is the score.
 
 Whole texts are read; chains run over stretches of STRETCH words. Training reads about QUOTA documents of each
-language (by a hash of the id), two windows of WINDOW words from each. Null texts and texts without a letter are
-``und`` with score 0; ties go to the language first in order; without any training row all is ``und``.
+language (by a hash of the id), two windows of WINDOW words from each, and fits in one task. Null texts and texts
+without a letter (numeric signs are none) are ``und`` with score 0; ties go to the language first in order; without
+any training row all is ``und``. Chains of a very long text begin anew at every STRETCH words, all of which count;
+words beyond 64 characters are read in parts. Repeated rows give one result each; an empty table gives no rows;
+language_id() ignores extra columns, predict() keeps them and raises ValueError if they clash with its own.
 """
 
 from __future__ import annotations
@@ -15,25 +18,29 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fold
+from .common import add_columns, fit_apart, fold
 from .hashed import PLACES, Adam, WordScores, features, pieces
 
 QUOTA = 500  # training documents of a language
 WINDOW = 48  # words of a training window
 STRETCH = 128  # words of a chain
 STEPS = 40
-words_of = re.compile(r"[^\W\d_]+").findall
+FEW = 10_000  # languages whose table is broadcast
+_ascii = re.compile(r"[A-Za-z]+").findall
+_letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
-def posteriors(scores: np.ndarray, inside: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over padded chains.
+def words_of(text: str) -> list[str]:
+    """Runs of letters with the marks that follow them; numeric signs are no letters."""
+    return _ascii(text) if text.isascii() else _letters(text)
 
-    scores [chain, step, state], inside [chain, step] (true up to a chain's end), transition [state, state], all
-    in logs. Returns word posteriors [chain, step, state] and the expected transitions, summed [state, state].
-    """
+
+def _messages(scores: np.ndarray, inside: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores and transitions out of logs, and the forward and backward messages of padded chains."""
     n, steps, k = scores.shape
     e = np.exp(scores - scores.max(2, keepdims=True))
     e[~inside] = 1.0
@@ -52,6 +59,23 @@ def posteriors(scores: np.ndarray, inside: np.ndarray, transition: np.ndarray) -
         z /= z.sum(1, keepdims=True)
         y = np.where(inside[:, t + 1, None], z, np.float32(1.0 / k))  # nothing comes after a chain's end
         backward[:, t] = y
+    return e, a, forward, backward
+
+
+def posteriors(scores: np.ndarray, inside: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Word posteriors [chain, step, state] by forward-backward over padded chains.
+
+    scores [chain, step, state], inside [chain, step] (true up to a chain's end), transition [state, state], all
+    in logs.
+    """
+    _, _, forward, backward = _messages(scores, inside, transition)
+    post = forward * backward
+    return post / post.sum(2, keepdims=True)
+
+
+def expectations(scores: np.ndarray, inside: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """posteriors(), and the expected transitions summed over all chains [state, state], which learning needs."""
+    e, a, forward, backward = _messages(scores, inside, transition)
     post = forward * backward
     post /= post.sum(2, keepdims=True)
     pair = forward[:, :-1, :, None] * a * (e[:, 1:] * backward[:, 1:])[:, :, None, :]
@@ -94,7 +118,7 @@ class Tagger:
         return pred, score
 
     def forward_backward(self, scores: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        return posteriors(scores, inside, self.transition)[0]
+        return posteriors(scores, inside, self.transition)
 
 
 def fit(windows: list[tuple[str, str]], seed: int = 5) -> Tagger:
@@ -127,7 +151,7 @@ def fit(windows: list[tuple[str, str]], seed: int = 5) -> Tagger:
     table, trans, n = Adam(np.zeros((PLACES, k), np.float32), 0.03), Adam(np.zeros((k, k)), 0.1), inside.sum()
     for _ in range(STEPS):
         e = np.stack([np.bincount(owner, weights=table.value[place, c], minlength=len(vocabulary)) for c in range(k)], axis=1).astype(np.float32)
-        post, expected = posteriors(e[at], inside, trans.value.astype(np.float32))
+        post, expected = expectations(e[at], inside, trans.value.astype(np.float32))
         g = (post - truth) * inside[:, :, None]
         by_word = np.stack([np.bincount(at.ravel(), weights=g[:, :, c].ravel(), minlength=len(vocabulary)) for c in range(k)], axis=1)
         table.step((np.stack([np.bincount(place, weights=by_word[owner, c], minlength=PLACES) for c in range(k)], axis=1) / n).astype(np.float32) + np.float32(1e-7) * table.value)
@@ -138,11 +162,10 @@ def fit(windows: list[tuple[str, str]], seed: int = 5) -> Tagger:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quota: int = QUOTA) -> Tagger:
     """Fit on about ``quota`` documents of each language, the lowest hashes of their ids."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_g"), F.col(text).alias("_t"))
-    counts = {r["_g"]: r["n"] for r in known.groupBy("_g").agg(F.count("*").alias("n")).collect()}  # one row for each language
-    if not counts:
-        return fit([])
-    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1_000_000, int(1_000_000 * quota / n) + 1))])
-    sample = known.where(F.pmod(F.xxhash64(F.lit(9), F.col("_k")), F.lit(1_000_000)) < share[F.col("_g")])
+    share = known.groupBy("_g").agg((F.lit(quota * 1e6) / F.count("*") + 1).alias("_share"))
+    # a row for each language; beyond FEW (a column that holds no languages) the join is a shuffle
+    share = F.broadcast(share) if share.count() <= FEW else share
+    sample = known.join(share, "_g").where(F.pmod(F.xxhash64(F.lit(9), F.col("_k")), F.lit(1_000_000)) < F.col("_share")).drop("_share")
 
     def cut(texts, hashes):
         out = []
@@ -153,7 +176,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return [out]
 
     rows = add_columns(sample.withColumn("_h", F.pmod(F.xxhash64("_k", "_t"), F.lit(1 << 40))), ["_t", "_h"], {"w": "array<string>"}, lambda: cut, ["_g"])
-    return fit([(r["_g"], w) for r in rows.collect() for w in r["w"]])
+    return fit_apart(rows, lambda pdf: fit([(g, w) for g, ws in zip(pdf["_g"], pdf["w"], strict=True) for w in ws]), lambda: fit([]))
 
 
 def predict(docs: DataFrame, tagger: Tagger, text: str = "text", keep: list[str] | None = None) -> DataFrame:
