@@ -5,10 +5,15 @@ forms meet; they are hashed into 2^30 places, of which only those kept by traini
 score is a bias, a weight for each term present, and for each pair of present terms the product of their factor
 vectors, so that two terms that are harmless alone can be harmful together.
 
-Training reads at most MAX_DOCS labelled rows (those with the lowest hash of their id), keeps the terms whose
-share of label 1 is significantly high, and fits weights and factors by Adam on the logistic loss. Scores read
-nothing but the text: null and empty texts get the bias alone. Rows with a null label are not learned from;
-a document labelled twice counts by its highest label; without any labelled row every score is 0.
+Training reads at most about MAX_DOCS labelled rows (those with the lowest hash of their id), whole texts, as hashed
+terms made on the executors, and fits in one task. It keeps at most MAX_TERMS terms: those whose share of label 1
+is significantly high or low, and those of pairs whose share differs from what both terms announce alone, so that
+a pair is learned even if neither of its terms tells anything by itself. Weights and factors are fitted by Adam
+on the logistic loss. Scores read nothing but the text: null and empty texts get the bias alone, very long texts
+are read whole. Rows with a null label are not learned from; a document labelled twice counts by its highest
+label; without any labelled row every score is 0. Repeated document rows are scored each, and train once if
+their texts are equal; an empty table gives no rows; toxicity() ignores extra columns, score() keeps them and
+raises ValueError if they clash with its own.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fold
+from .common import add_columns, fit_apart, fold
 
 MAX_DOCS = 6_000  # labelled rows that training reads
 MAX_TERMS = 1_024  # terms with weights
-LEAST = 6.0  # standard deviations above the base rate that a term needs
+PAIR_TERMS = 2_048  # terms whose pairs are looked at
+LEAST = 6.0  # standard deviations from the base rate that a term needs
+LEAST_PAIR = 12.0  # and a pair, from what its two terms announce
+PAIRED = 10  # documents in which a pair must stand
 FACTORS, STEPS = 8, 150
 PLACES = (1 << 30) - 1
-CACHE = 400_000
+CACHE, LONGEST = 400_000, 64  # words that a worker keeps, and their characters
 _words = re.compile(r"\w+").findall
 
 
@@ -52,7 +60,9 @@ class Machine:
             if (at := known.get(w)) is None:
                 if len(known) >= CACHE:
                     known.clear()
-                at = known[w] = tuple(self.place[t] for t in word_terms(w) if t in self.place)
+                at = tuple(self.place[t] for t in word_terms(w) if t in self.place)
+                if len(w) <= LONGEST:
+                    known[w] = at
             if at:
                 found.update(at)
         if not found:
@@ -70,6 +80,48 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -60, 60))))
 
 
+def _telling(x: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the columns of x [row, term]: deviations of each term alone, and of each pair from what its two terms announce."""
+    df, hits = x.sum(0), x.T @ y
+    alone = (hits - df * base) / np.sqrt(df * base * (1 - base))
+    logit = np.log((hits + base) / (df - hits + 1 - base))  # smoothed towards the base rate
+    n = x.T @ x
+    h = (x * y[:, None]).T @ x
+    announced = 1 / (1 + np.exp(-np.clip(logit[:, None] + logit[None, :] - np.log(base / (1 - base)), -30, 30)))
+    announced = np.clip(announced, base / 10, 1 - base / 10)
+    z = (h - n * announced) / np.sqrt(np.maximum(n * announced * (1 - announced), 1e-9))
+    z[n < PAIRED] = 0
+    np.fill_diagonal(z, 0)
+    return alone, z
+
+
+def choose(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """(all distinct terms, places among them of those that get weights).
+
+    Kept are the terms that stand out alone, in either direction, and the terms of pairs that stand out together
+    from what both announce alone, among the PAIR_TERMS terms that stand out most or are the most frequent.
+    """
+    terms, place, df = np.unique(flat, return_inverse=True, return_counts=True)
+    hits = np.bincount(place, weights=y[owner], minlength=len(terms))
+    z = np.abs((hits - df * base) / np.sqrt(df * base * (1 - base)))
+    alone = np.flatnonzero((z >= LEAST) & (df >= 5))
+    alone = alone[np.argsort(-z[alone], kind="stable")][:MAX_TERMS]
+    often = np.flatnonzero((df >= PAIRED) & (df <= 0.9 * len(y)))
+    often = often[np.argsort(-df[often], kind="stable")]
+    asked = np.concatenate([alone[: PAIR_TERMS // 2], often[~np.isin(often, alone)]])[:PAIR_TERMS]
+    column = np.full(len(terms), -1)
+    column[asked] = np.arange(len(asked))
+    x = np.zeros((len(y), len(asked)), np.float32)
+    at = column[place]
+    x[owner[at >= 0], at[at >= 0]] = 1
+    together = np.abs(_telling(x, y.astype(np.float32), base)[1]) if len(asked) else np.zeros((0, 0))
+    u, v = np.nonzero(np.triu(together >= LEAST_PAIR))
+    best = np.argsort(-together[u, v], kind="stable")
+    paired = asked[np.column_stack([u[best], v[best]]).ravel()]
+    kept = list(dict.fromkeys([*alone.tolist(), *paired.tolist()]))[:MAX_TERMS]
+    return terms, np.sort(np.array(kept, dtype=np.int64))
+
+
 def fit(docs: list[tuple[np.ndarray, int]], seed: int = 11) -> Machine:
     """Fit on (distinct hashed terms, label) rows."""
     seen: dict[bytes, tuple[np.ndarray, int]] = {}
@@ -81,15 +133,11 @@ def fit(docs: list[tuple[np.ndarray, int]], seed: int = 11) -> Machine:
         return Machine(np.zeros(0, np.int64), -60.0, np.zeros(0), np.zeros((0, FACTORS)))
     base = (y.sum() + 0.5) / (len(y) + 1)
     flat, owner = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    terms, place, df = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(place, weights=y[owner], minlength=len(terms))
-    z = (hits - df * base) / np.sqrt(df * base * (1 - base))
-    keep = np.flatnonzero((z >= LEAST) & (df >= 5))
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:MAX_TERMS]])
-    slot = np.full(len(terms), -1)
-    slot[keep] = np.arange(len(keep))
+    terms, keep = choose(flat, owner, y, base)
+    column = np.full(len(terms), -1)
+    column[keep] = np.arange(len(keep))
+    at = column[np.searchsorted(terms, flat)]
     x = np.zeros((len(rows), len(keep)), dtype=np.float32)
-    at = slot[place]
     x[owner[at >= 0], at[at >= 0]] = 1
     x, which = np.unique(np.column_stack([x, y.astype(np.float32)]), axis=0, return_counts=True)
     x, yy = x[:, :-1], x[:, -1]
@@ -119,10 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     def make(texts):
         return [[np.array(sorted({t for w in set(_words(x.lower())) for t in word_terms(w)}), dtype=np.int32).tobytes() for x in texts]]
 
-    # at most max_docs rows of two numbers
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(marked), key).select("_t", "_y")
-    rows = add_columns(rows, ["_t"], {"t": "binary"}, lambda: make, ["_y"]).collect()
-    return fit([(np.frombuffer(bytes(r["t"]), dtype=np.int32), int(r["_y"])) for r in sorted(rows, key=lambda r: (bytes(r["t"]), r["_y"]))])
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(marked), key).select("_t", "_y")  # about max_docs rows of two numbers
+    hashed = add_columns(rows, ["_t"], {"t": "binary"}, lambda: make, ["_y"])
+
+    def run(pdf):
+        return fit([(np.frombuffer(t, dtype=np.int32), int(y)) for t, y in sorted(zip(pdf["t"], pdf["_y"], strict=True))])
+
+    return fit_apart(hashed, run, lambda: fit([]))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
