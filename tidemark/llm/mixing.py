@@ -6,10 +6,12 @@ on the histogram of exact document sizes: a proportional share of every size, la
 left, then a bounded-knapsack dynamic programme on the remaining budget. Of the documents of one size, a seeded
 order picks those that the fit counts.
 
-Only one row for each source reaches the driver (sources are the configuration of a mix, so their number is
-bounded by it); histograms stay distributed, one row for each source and size. Null text has size 0 and is
-never taken; null sources form a source of their own, last in order; rows equal in id and text share their
-fate; an empty table gives no rows. Existing columns named like the results raise ValueError.
+Everything stays distributed: one row for each source, one for each source and size; the water level that the
+targets share is found by aggregates. The sources' table is broadcast while it has at most FEW rows, the
+table of partly taken sizes while it has at most FEW_EDGES, and both are joined by shuffle beyond. Null text has size 0 and is never taken, very long texts count with all their words; null sources
+form a source of their own, last in order. Rows equal in id and text are counted as a group, of which as many are
+taken as the fit asks for, those first that are least by a hash of all their columns; an empty table gives no rows.
+Extra columns are kept; those named like the results raise ValueError.
 """
 
 from __future__ import annotations
@@ -26,27 +28,30 @@ SHARE = 1.5  # of all sizes
 CAP = 2.0  # times a source's size
 SALTS = 1024  # parts in which documents of one size are ordered, so that none holds a large group
 WINDOW = 8192  # words of budget left to the dynamic programme
-
-
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
-    """Each source's target; sources in code point order, null last, take ``weights`` in turn."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    left = min(share, cap) * sum(size.values())
-    out: dict[str | None, float] = {}
-    open_ = list(size)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total >= cap * size[s]]
-        if not full:
-            out |= {s: left * weight[s] / total for s in open_}
+FEW = 10_000  # sources whose table is broadcast
+FEW_EDGES = 100_000  # rows of 40 bytes, one for each source and size, whose table is broadcast
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(_s, n) of all sources with ``target``; sources take ``weights`` in turn, in order of _s (null last).
+
+    A target is the water level times the weight, but at most ``cap`` times n: the level rises until the sources
+    that it doesn't fill hold all the budget that is left.
+    """
+    spark = sizes.sparkSession
+    ordered = sizes.select("_s", "n").orderBy(F.col("_s").asc_nulls_last())
+    numbered = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], int(x[0][1]), x[1])), "_s string, n long, i long")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod("i", F.lit(len(weights))).cast("int"))
+    rows = cut(numbered.select("_s", "n", weight.alias("w")))
+    whole = min(share, cap) * float(rows.agg(F.sum("n")).first()[0] or 0)
+    level, filled = 0.0, None
+    while True:
+        full = F.lit(level) * F.col("w") >= cap * F.col("n")
+        r = rows.agg(F.count_if(full), F.sum(F.when(full, cap * F.col("n"))), F.sum(F.when(~full, F.col("w")))).first()
+        if r[0] == filled or not r[2]:
             break
-        for s in full:
-            out[s] = float(cap * size[s])
-        left = max(0.0, left - sum(out[s] for s in full))
-        open_ = [s for s in open_ if s not in out]
-    return out
+        filled, level = r[0], max(0.0, whole - (r[1] or 0.0)) / r[2]
+    return rows.select("_s", "n", F.when(full, cap * F.col("n")).otherwise(F.lit(level) * F.col("w")).cast("double").alias("target"))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
@@ -59,7 +64,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
         return take
     if goal >= whole:
         return counts.astype(np.int64).copy()
-    take = np.minimum(have, (have * (goal / whole)).astype(np.int64))
+    if goal > 2 * WINDOW:  # a smaller budget is left to the dynamic programme as a whole
+        take = np.minimum(have, (have * (goal / whole)).astype(np.int64))
     left = goal - int((take * size).sum())
     for floor, enough in ((WINDOW, 2 * WINDOW), (0, 4 * WINDOW)):  # the second only where all that is left is larger
         for i, n in enumerate(size):
@@ -96,40 +102,52 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     """``df`` with size, source_size, target (its source's) and taken: words the mix takes of the row, repeats counted."""
     if clash := {"size", "source_size", "target", "taken"} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} are there already")
-    spark = df.sparkSession
-    name = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
     keyed = df.withColumns({
         "size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-        "_s": name,
+        "_s": F.col(source).cast("string"),
         "_h": F.xxhash64(F.lit(seed), F.col(key), F.col(text)),
     }).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_h")), F.lit(SALTS)).cast("int"))
-    small = cut(keyed.select("_s", "size", "_b", "_h"))
-    totals = [(r["_s"], int(r["n"])) for r in small.groupBy("_s").agg(F.sum("size").alias("n")).collect()]
-    of = {s: (s[1:] if s else None) for s, _ in totals}
-    goal = targets([(of[s], n) for s, n in totals], weights, share, cap)
-    plan = []
-    for s, n in totals:
-        base = int(goal[of[s]] // n) if n else 0
-        plan.append((s, n, float(goal[of[s]]), base, float(goal[of[s]] - base * n)))
-    plan = spark.createDataFrame(plan, "_s string, source_size long, target double, _base int, _rest double")
-
-    counted = small.where("size > 0").groupBy("_s", "size", "_b").agg(F.count("*").alias("c"))
-    by_size = counted.groupBy("_s", "size").agg(F.sum("c").alias("c")).join(F.broadcast(plan.select("_s", "_rest")), "_s")
+    small = cut(keyed.groupBy("_s", "size", "_b", "_h").agg(F.count("*").alias("c")))  # equal rows count once
+    goal = targets(small.groupBy("_s").agg(F.sum(F.col("size") * F.col("c")).alias("n")), weights, share, cap)
+    base = F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n"))).otherwise(0)
+    plan = cut(goal.select(F.col("_s").alias("_p"), F.col("n").alias("source_size"), "target", base.cast("int").alias("_base")))
+    near = F.broadcast if plan.count() <= FEW else (lambda x: x)
+    of = F.col("_s").eqNullSafe(F.col("_p"))
+
+    counted = small.where("size > 0").groupBy("_s", "size", "_b").agg(F.sum("c").alias("c"))
+    by_size = counted.groupBy("_s", "size").agg(F.sum("c").alias("c"))
+    by_size = by_size.join(near(plan.select("_p", (F.col("target") - F.col("_base") * F.col("source_size")).alias("_rest"))), of).drop("_p")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ignore_index=True)
         return pd.DataFrame({"_s": pdf["_s"], "size": pdf["size"], "x": fit(pdf["size"].to_numpy(), pdf["c"].to_numpy(), float(pdf["_rest"].iloc[0]))})
 
     fitted = by_size.groupBy("_s").applyInPandas(run, "_s string, size long, x long").where("x > 0")
-    # the part, then the place within it, at which the x-th document of a size stands
+    fitted = fitted.select(F.col("_s").alias("_fs"), F.col("size").alias("_fn"), "x")
+    # the part, then the group of equal rows within it, in which the x-th document of a size stands
     upto = F.sum("c").over(Window.partitionBy("_s", "size").orderBy("_b"))
-    part = counted.withColumn("upto", upto).join(fitted, ["_s", "size"]).where("upto - c < x AND x <= upto").select("_s", "size", "_b", (F.col("x") - F.col("upto") + F.col("c")).alias("_need"))
-    ranked = small.join(part, ["_s", "size", "_b"]).withColumn("_r", F.row_number().over(Window.partitionBy("_s", "size", "_b").orderBy("_h")))
-    edge = cut(ranked.where("_r = _need").select("_s", "size", F.col("_b").alias("_eb"), F.col("_h").alias("_eh")))
-
-    taken = F.when((F.col("_b") < F.col("_eb")) | ((F.col("_b") == F.col("_eb")) & (F.col("_h") <= F.col("_eh"))), 1).otherwise(0)
-    out = keyed.join(F.broadcast(plan.drop("_rest")), "_s").join(edge, ["_s", "size"], "left")
-    return out.withColumn("taken", F.col("size") * (F.col("_base") + taken)).select(*df.columns, "size", "source_size", "target", "taken")
+    part = counted.withColumn("upto", upto).join(fitted, F.col("_s").eqNullSafe(F.col("_fs")) & (F.col("size") == F.col("_fn")))
+    part = part.where("upto - c < x AND x <= upto").select(F.col("_s").alias("_ps"), F.col("size").alias("_pn"), F.col("_b").alias("_pb"), (F.col("x") - F.col("upto") + F.col("c")).alias("_need"))
+    within = F.sum("c").over(Window.partitionBy("_s", "size", "_b").orderBy("_h"))
+    placed = small.join(part, F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pn")) & (F.col("_b") == F.col("_pb"))).withColumn("_u", within)
+    edge = placed.where("_u - c < _need AND _need <= _u").select(F.col("_s").alias("_es"), F.col("size").alias("_en"), F.col("_b").alias("_eb"), F.col("_h").alias("_eh"), (F.col("_need") - F.col("_u") + F.col("c")).alias("_left"), (F.col("_need") < F.col("_u")).alias("_split"))
+    edge = cut(edge)
+    small_edge = F.broadcast(edge) if edge.count() <= FEW_EDGES else edge  # at most a row for each source and size
+
+    before = (F.col("_b") < F.col("_eb")) | ((F.col("_b") == F.col("_eb")) & (F.col("_h") <= F.col("_eh")))
+    out = keyed.join(near(plan), of).join(small_edge, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("size") == F.col("_en")), "left")
+    names = [*df.columns, "size", "source_size", "target", "taken"]
+    whole = out.withColumn("taken", F.col("size") * (F.col("_base") + F.when(before, 1).otherwise(0)))
+    if edge.where("_split").isEmpty():
+        return whole.select(*names)
+    # a group of equal rows of which some are taken: one row of each kind, repeated
+    halved = F.coalesce(F.col("_split") & (F.col("_b") == F.col("_eb")) & (F.col("_h") == F.col("_eh")), F.lit(False))
+    kinds = out.where(halved).withColumn("_k", F.xxhash64(F.to_json(F.struct(*df.columns))))
+    kinds = kinds.groupBy("_es", "_en", "_left", "_k").agg(F.count("*").alias("_c"), F.first(F.struct(*df.columns, "size", "source_size", "target", "_base")).alias("_row"))
+    first = F.sum("_c").over(Window.partitionBy("_es", "_en").orderBy("_k")) - F.col("_c")
+    split = kinds.withColumn("_f", first).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
+    split = split.select("_row.*", (F.col("_f") + F.col("_i") <= F.col("_left")).cast("int").alias("_t")).withColumn("taken", F.col("size") * (F.col("_base") + F.col("_t")))
+    return whole.where(~halved).select(*names).unionByName(split.select(*names))
 
 
 def copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
