@@ -3,12 +3,14 @@
 Texts and templates are cut into lower-cased words (letters and digits) and five-word shingles. A window is six
 words (two shingles); text windows start at every second word, so each shingle lies in one, and template windows
 at every word. Each window has BANDS one-row MinHash bands. A window inside a copy of a template longer than five
-words equals one of its windows and always collides; a template of a single shingle shares one of a window's two
-and is missed with a chance of 2^-BANDS. A retrieved template is verified on the words around the window: the
-exact share of its shingles found there must reach LEAST.
-
-Null texts and texts below five words have no shingle and no result; repeated rows give one result each pair of
-id and template; extra columns are ignored; an empty table gives no rows.
+words equals one of its windows and always collides; one that holds a single shingle of a template misses it with a
+chance below 0.002. A collision retrieves the template for the window, whose shingles and those of its neighbours
+are compared exactly with the template's; the share of the template's shingles found in the whole document must
+reach LEAST.
+
+Null texts and texts below five words have no shingle and no result; very long texts are read whole; repeated rows
+give one result each pair of id and template, with the shingles of all rows of the id; extra columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,21 +21,47 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 BANDS = 16
 LEAST = 0.8
-#: Public license notices; fixed values.
+#: Texts and notices of public licenses, as their publishers word them; fixed values.
 TEMPLATES = (
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("MIT-notice", "Released under the MIT License."),
+    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
-    ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("MIT-notice", "Released under the MIT License"),
+    ("MIT-notice", "Licensed under the MIT License"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0-notice", "the GNU General Public License, version 3"),
+    ("GPL-2.0-notice", "the GNU General Public License, version 2"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-notice", "licensed under the GNU Lesser General Public License"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-notice", "licensed under the GNU Affero General Public License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-notice", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("BUSL-1.1", "Use of this software is governed by the Business Source License included in the LICENSE file"),
+    ("Artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0)"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-4.0-notice", "licensed under CC BY 4.0"),
+    ("CC-BY-SA-4.0-notice", "licensed under CC BY-SA 4.0"),
+    ("CC-BY-ND-4.0-notice", "licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-4.0-notice", "licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-SA-4.0-notice", "licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0-notice", "licensed under CC BY-NC-ND 4.0"),
 )
 
 
@@ -69,17 +97,17 @@ def _bands() -> Column:
 
 
 def templates(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
-    """license, n (words), _shingles of each template; as many rows as templates."""
-    listed = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("_text")) for n, t in rows])
+    """template (its place in ``rows``), license, _w (words), _shingles of each template; as many rows as templates."""
+    listed = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("_text")) for i, (n, t) in enumerate(rows)])
     df = spark.range(1).select(F.inline(listed)).withColumn("_w", words(F.col("_text")))
-    return df.where(F.size("_w") >= SHINGLE).select("license", F.size("_w").alias("n"), shingles(F.col("_w")).alias("_shingles"), "_w")
+    return df.where(F.size("_w") >= SHINGLE).select("template", "license", "_w", shingles(F.col("_w")).alias("_shingles"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rows=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """One row for each document and template found in it: key, license, containment, at (first word of the region's best hit)."""
+    """One row for each document and license found in it: key, license, containment (of its best template), at (first word of the first window that holds some of it)."""
     spark = docs.sparkSession
     known = templates(spark, rows)
-    bands = _windows(known, 1).select("license", _bands()).distinct()
+    bands = _windows(known, 1).select("template", _bands()).distinct()
     values: list[set[int]] = [set() for _ in range(BANDS)]
     for r in bands.collect():  # bounded by the templates' words
         values[r["k"]].add(r["b"])
@@ -88,15 +116,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rows=TEMPLATE
     for k in range(BANDS):
         listed = ", ".join(f"{v}L" for v in sorted(values[k]))
         retrieved = retrieved | F.expr(f"least(xxhash64({k}, s), xxhash64({k}, t)) IN ({listed})")
-    span = max(len(t.split()) for _, t in rows) + 32  # words on either side that a template can reach
     hits = _windows(docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("_w")), 2).where(retrieved)
-    first = F.greatest(F.col("at") - span, F.lit(0))
-    near = hits.select("_key", "at", "s", "t", first.alias("_first"), F.slice("_w", first + 1, F.col("at") - first + span).alias("_region"))
-    found = near.select("_key", "at", "_first", "_region", _bands())
-    found = found.join(F.broadcast(bands), ["k", "b"]).groupBy("_key", "license", "at").agg(F.first("_first").alias("_first"), F.first("_region").alias("_region"))
-    tested = found.join(F.broadcast(known.select("license", "n", "_shingles")), "license")
-    offset = F.greatest(F.col("at") - F.col("_first") - F.col("n"), F.lit(0))
-    around = F.slice("_region", offset + 1, F.col("at") - F.col("_first") - offset + F.col("n") + SHINGLE)
-    share = F.size(F.array_intersect("_shingles", shingles(around))) / F.size("_shingles")
-    best = tested.select("_key", "license", "at", share.alias("containment")).where(F.col("containment") >= least)
-    return best.groupBy(F.col("_key").alias(key), "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("at"))
+    # the window's two shingles and two on either side
+    shingle = lambda i: F.when((i >= 0) & (i + SHINGLE <= F.size("_w")), F.concat_ws(" ", *[F.get(F.col("_w"), i + j) for j in range(SHINGLE)]))
+    near = hits.select("_key", "at", "s", "t", F.array(*[shingle(F.col("at") + d) for d in range(-2, 4)]).alias("_near"))
+    found = near.select("_key", "at", "_near", _bands()).join(F.broadcast(bands), ["k", "b"]).groupBy("_key", "template", "at").agg(F.first("_near").alias("_near"))
+    parts = known.select("template", "license", F.size("_shingles").alias("_n"), F.explode("_shingles").alias("_s"))
+    same = found.select("_key", "template", "at", F.explode("_near").alias("_s")).join(F.broadcast(parts), ["template", "_s"])
+    share = same.groupBy("_key", "template", "license", "_n").agg(F.size(F.collect_set("_s")).alias("_c"), F.min("at").alias("at"))
+    share = share.withColumn("containment", F.col("_c") / F.col("_n")).where(F.col("containment") >= least)
+    return share.groupBy(F.col("_key").alias(key), "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("at"))

@@ -96,14 +96,14 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.c) AS component_id FROM s
 
 _quoted = lambda t: t.replace("'", "''")
 OP8_SQL = r"""
-WITH t AS (SELECT * FROM (VALUES %s) AS v(license, text)),
-w AS (SELECT doc_id AS k, NULL AS license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
-  UNION ALL SELECT NULL, license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM t),
-g AS (SELECT k, license, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS g FROM w WHERE len(w) >= 5),
-n AS (SELECT license, count(*) AS n FROM g WHERE license IS NOT NULL GROUP BY license)
-SELECT d.k AS doc_id, t.license, count(*) / any_value(n.n) AS containment FROM g d JOIN g t ON d.g = t.g AND d.license IS NULL AND t.license IS NOT NULL JOIN n ON n.license = t.license
-GROUP BY d.k, t.license HAVING count(*) / any_value(n.n) >= 0.8
-""" % ", ".join(f"('{n}', '{_quoted(t)}')" for n, t in licenses.TEMPLATES)
+WITH t AS (SELECT * FROM (VALUES %s) AS v(i, license, text)),
+w AS (SELECT doc_id AS k, NULL AS i, NULL AS license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT NULL, i, license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM t),
+g AS (SELECT k, i, license, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p : p + 4], ' ')))) AS g FROM w WHERE len(w) >= 5),
+n AS (SELECT i, count(*) AS n FROM g WHERE i IS NOT NULL GROUP BY i),
+c AS (SELECT d.k, t.license, count(*) / any_value(n.n) AS containment FROM g d JOIN g t ON d.g = t.g AND d.i IS NULL AND t.i IS NOT NULL JOIN n ON n.i = t.i GROUP BY d.k, t.i, t.license HAVING count(*) / any_value(n.n) >= 0.8)
+SELECT k AS doc_id, license, max(containment) AS containment FROM c GROUP BY k, license
+""" % ", ".join(f"({i}, '{n}', '{_quoted(t)}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_multi_index": op1_multi_index, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_chat": op4_chat, "op5_ngram_join": op5_ngram_join, "op6_digest": op6_digest, "op7_mix": op7_mix, "op8_licenses": op8_licenses, "op9_quality": op9_quality, "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op5_ngram_join": OP5_SQL, "op8_licenses": OP8_SQL}
