@@ -1,6 +1,9 @@
 import json
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import captions as C
@@ -33,9 +36,33 @@ def test_event_times(spark):
     assert got == [[(0.0, "before"), (0.5, "onset")], [(9.0, "before"), (10.0, "onset"), (13.0, "during")], [(0.0, "before")]]
 
 
-def test_bisection_takes_the_widest_gap():
-    assert E.bisect_gaps([], 8.0, 3) == [2.0, 4.0, 6.0]
-    assert E.bisect_gaps([1.0], 10.0, 1) == [5.5] and E.bisect_gaps([], 0.0, 3) == []
+def halved(times, duration, n):
+    """One gap after the other: the widest, the earliest of equals."""
+    edges, out = sorted({0.0, duration, *times}), []
+    for _ in range(n):
+        at = max(range(len(edges) - 1), key=lambda i: (edges[i + 1] - edges[i], -i))
+        out.append((edges[at] + edges[at + 1]) / 2)
+        edges = sorted([*edges, out[-1]])
+    return out
+
+
+def test_bisection_takes_the_widest_gap(spark):
+    rng = random.Random(4)
+    cases = [([], 8.0, 3), ([1.0], 10.0, 1), ([2.0, 4.0], 8.0, 9), ([0.0, 8.0], 8.0, 4)] + [([rng.randint(0, 64) / 4 for _ in range(rng.randint(0, 6))], 16.0, rng.randint(1, 20)) for _ in range(20)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, times array<double>, duration double, n int")
+    got = df.orderBy("i").select(E.bisect_gaps(F.col("times"), F.col("duration"), F.col("n"))).collect()
+    assert [r[0] for r in got] == [halved(*c) for c in cases]
+    none = spark.createDataFrame([([], 0.0, 3), ([1.0], 5.0, 0), ([1.0], 5.0, -2)], df.drop("i").schema)
+    assert [r[0] for r in none.select(E.bisect_gaps(F.col("times"), F.col("duration"), F.col("n"))).collect()] == [[], [], []]
+
+
+def test_plan_keeps_the_better_of_two_close_slots(spark):
+    slot = "array<struct<time:double,kind:string,role:string,event_type:string,event_time:double,group:string>>"
+    rows = [(0.0, "before"), (0.5, "coverage"), (1.2, "coverage"), (1.9, "onset"), (2.5, "before"), (3.6, "during")]
+    df = spark.createDataFrame([([(t, "k", r, None, None, None) for t, r in rows],)], f"a {slot}")
+    got = df.select(E.spaced(F.col("a"), 1.0).alias("a")).first().a
+    # the onset takes the place of the coverage before it, and the slot before the next event that of the onset
+    assert [(s.time, s.role) for s in got] == [(0.0, "before"), (2.5, "before"), (3.6, "during")]
 
 
 def test_old_and_new_events(spark):
@@ -52,10 +79,35 @@ def test_rolling_captions():
     assert C.rolling_lines([(0.0, "a b c d e"), (1.0, "d e f g h i"), (2.0, "z")]) == [(0.0, "a b c d e f g h i"), (2.0, "z")]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_overlap_is_the_longest(done, new):
+    assert C.overlap(done, new) == max(k for k in range(min(len(done), len(new)) + 1) if done[len(done) - k :] == new[:k])
+
+
 def test_alignment_moves_forward():
     segs = [(0.0, "hello world"), (4.0, "other words here"), (8.0, "hello world")]
     got = C.align(["hello world", "other words", "hello world", "zz qq"], segs)
     assert [g[1] for g in got] == [0.0, 4.0, 8.0, None] and got[0][2] == 1.0
+    assert C.align(["x", "hello"], []) == [("x", None, 0.0), ("hello", None, 0.0)]
+
+
+def test_alignment_window_and_misses():
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    segs = [(float(i), " ".join(rng.sample(words, rng.randint(0, 6)))) for i in range(60)]
+    lines = [" ".join(rng.sample(words, rng.randint(0, 5))) for _ in range(50)]
+    at = 0
+    for line, (text, start, score) in zip(lines, C.align(lines, segs, 5, 0.3)):
+        bag = set(line.split())
+        scores = [len(bag & set(t.split())) / len(bag | set(t.split())) if bag and t else 0.0 for _, t in segs[at : at + 5]]
+        assert text == line
+        if bag and max(scores) >= 0.3:
+            at += scores.index(max(scores))
+            assert (start, score) == (segs[at][0], round(max(scores), 3))
+        else:
+            assert (start, score) == (None, 0.0)
+            at = min(at + 1, len(segs) - 1) if bag else at
 
 
 def test_cues_and_pages():
@@ -77,6 +129,20 @@ def test_catalog(spark):
     assert c == {"m": "both", "k": "only_a"}
 
 
+def test_rank_in_ranges_is_the_plain_rank(spark, monkeypatch):
+    monkeypatch.setattr(K, "BUCKETS", 4)
+    rng = random.Random(3)
+    rows = [(f"t{i}", m, float(rng.randint(0, 9)) if m == "few" else rng.gauss(0, 3)) for m in ("few", "many") for i in range(60)] + [("t1", "alone", 2.0)] + [(f"t{i}", "same", 5.0) for i in range(9)]
+    got = {(r.track, r.metric): r for r in K.rank(spark.createDataFrame(rows, "track string, metric string, value double")).collect()}
+    assert len(got) == len(rows) - 1
+    for t, m, v in rows:
+        own = [x for _, n, x in rows if n == m]
+        if len(own) > 1:
+            r = got[t, m]
+            assert r["rank"] == 1 + sum(x < v for x in own) and r.of == len(own) and r.percentile == pytest.approx(100 * (r["rank"] - 1) / (len(own) - 1), abs=0.06)
+    assert got["t0", "same"].z_score == 0
+
+
 def test_legacy_zero_survives(spark):
     x = spark.createDataFrame([("a", 0.0, 99.9)], "track string, mean_pattern_lock double, mean_surprise double")
     assert K.legacy_names(x).first().mean_pattern_lock == 0.0
@@ -95,6 +161,31 @@ def test_catalog_round_trip(spark, tmp_path):
     assert sorted((r.track, r.m) for r in y.collect()) == [("a", 2.0), ("b", 3.0)]
 
 
+def test_catalog_versions(spark, tmp_path):
+    at = f"{tmp_path}/c"
+    for m in (1.0, 2.0, 3.0):
+        old = K.load(spark, at)  # the table that is read while the next version is written
+        K.save(K.upsert(old, spark.createDataFrame([("a", m), (f"t{m}", m)], "track string, m double")), at)
+    assert {(r.track, r.m) for r in K.load(spark, at).collect()} == {("a", 3.0), ("t1.0", 1.0), ("t2.0", 2.0), ("t3.0", 3.0)}
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["v1", "v2"]
+    (tmp_path / "c" / "v3").mkdir()  # a version that was not finished does not count
+    assert K.load(spark, at).count() == 4 and K.load(spark, at, below=2).count() == 3
+    stats = spark.read.parquet(f"{at}.stats").first()
+    assert stats.track_count == 4 and stats.metric == "m"
+
+
+def test_module_documents(spark, tmp_path):
+    one = spark.createDataFrame([("a/b ü", 0.5, "C"), ("x", 0.7, "D")], "track string, mean_tension double, detected_key string")
+    A.write_module(one, str(tmp_path), "harmony")
+    A.write_module(spark.createDataFrame([("x", 0.9, "E")], one.schema), str(tmp_path), "harmony")
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "y_harmony.json").write_text('{"mean_tension": 0.1}')
+    got = {r.track: (r.m, r.k) for r in A.read_module(spark, str(tmp_path), "harmony").select("track", A.metric("doc", "mean_tension").alias("m"), A.text_field("doc", "detected_key").alias("k")).collect()}
+    assert got == {"a/b ü": (0.5, "C"), "x": (0.9, "E"), "y": (0.1, None)}
+    rows = spark.createDataFrame([("x", 1.0, 5), ("x", 0.5, 6)], "track string, t double, n int")
+    assert [(s.t, s.n) for s in A.as_stream(rows).first().stream] == [(0.5, 6), (1.0, 5)]
+
+
 def test_analysis_files(spark, tmp_path):
     d = tmp_path / "x"
     d.mkdir()

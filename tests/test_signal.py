@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.operators import signal as G
 from tidemark.plans import modules as M
+from tidemark.functions import harmony as H
 from tidemark.sources import wav as W
 
 SR = G.SR
@@ -53,7 +54,7 @@ def test_hpss_tells_tone_from_click():
 
 
 def test_chroma_of_a():
-    c = G.chroma(G.stft(sine(440, 1), 4096), G.frequencies(4096))
+    c = G.chroma(sine(440, 1))
     assert c[10].argmax() == 9
 
 
@@ -105,3 +106,65 @@ def test_modules_end_to_end(spark):
     assert plan.groupBy("track").count().where("count <> 6").count() == 0
     with pytest.raises(ValueError):
         M.analyse(signals, only=["nosuch"])
+
+
+def test_constant_q_notes():
+    for midi in (24, 40, 57, 69, 88, 106):
+        e = G.constant_q(sine(440 * 2 ** ((midi - 69) / 12), 2))
+        assert e[40].argmax() == midi - 24 and len(e) == 1 + 2 * SR // G.HOP
+    assert (G.chroma(np.zeros(SR)) == 0).all() and len(G.chroma(sine(440, 0.01))) == 1
+
+
+def test_harmonic_part_keeps_the_tone():
+    tone, click = sine(440, 3, 0.3), clicks(120, 3)
+    got = G.harmonic_part(tone + click)
+    inside = slice(SR, 2 * SR)
+    assert np.abs(got[inside] - tone[inside]).max() < 0.05 and len(got) == len(tone)
+
+
+def test_pitch_follows_a_glide():
+    t = np.arange(3 * SR) / SR
+    hz = 200 * 2 ** (t / 3)
+    f0, prob = G.pitch(0.3 * np.sin(2 * np.pi * np.cumsum(hz) / SR), 60, 2000)
+    at = np.arange(10, len(f0) - 10)
+    assert np.isfinite(f0[at]).mean() > 0.95
+    off = 1200 * np.log2(f0[at] / np.interp(at * G.HOP / SR, t, hz))
+    assert np.nanmedian(np.abs(off)) < 50 and (prob <= 1).all()
+
+
+def test_kernels_bound_their_memory():
+    """Medians are taken in stripes; they equal the plain ones."""
+    rng = np.random.default_rng(2)
+    s = rng.random((70, 40)).astype(np.float32)
+    wide = np.pad(s, ((15, 15), (0, 0)), mode="reflect")
+    plain = np.stack([np.median(wide[i : i + 31], axis=0) for i in range(70)])
+    assert np.allclose(G._median(s, 31, 0), plain) and np.allclose(G._median(s.T, 31, 1), plain.T)
+
+
+@pytest.mark.parametrize("rate", [44_100, 48_000, 16_000])
+def test_resampling_is_band_limited(rate):
+    t = np.arange(rate) / rate
+    low = W.resample(np.sin(2 * np.pi * 1000 * t), rate, SR)
+    want = np.sin(2 * np.pi * 1000 * np.arange(len(low)) / SR)
+    assert np.abs(low - want)[500:-500].max() < 1e-2
+    if rate > 2 * 13_000:
+        assert np.abs(W.resample(np.sin(2 * np.pi * 13_000 * t), rate, SR))[500:-500].max() < 0.05
+
+
+def test_segment_energies(spark):
+    rows = [("a", [0.0, 1.0, 3.0], [1.0, 3.0, 2.0, 4.0, 6.0, 8.0]), ("none", [0.0, 0.0], [])]
+    f = spark.createDataFrame(rows, "track string, bounds array<double>, rms array<double>")
+    got = M.segment_energies(f, 0.5).collect()
+    assert [(r.track, [tuple(s) for s in r.segments]) for r in got] == [("a", [(0.0, 1.0, 2.0, 3.0), (1.0, 3.0, 5.0, 8.0)])]
+
+
+def test_tonal_centres_are_numpy(spark):
+    rng = np.random.default_rng(5)
+    c = rng.random((137, 12))
+    f = spark.createDataFrame([("a", c.tolist())], "track string, chroma array<array<double>>")
+    got = M.tonal_centres(f, 50, 0.5).orderBy("t").collect()
+    assert [r.t for r in got] == [12.5, 25.0, 37.5, 50.0]
+    for k, r in enumerate(got):
+        mean = c[25 * k : 25 * k + 50].mean(0)
+        best = max(((np.corrcoef(mean, np.roll(p, root))[0, 1], -2 * root - m, name) for root, name in enumerate(H.NOTES) for m, p in enumerate((H.MAJOR, H.MINOR))))
+        assert r.centre.tonal_center == best[2] and r.centre.key_confidence == pytest.approx(max(0.0, best[0]), abs=1e-4)

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -98,3 +99,24 @@ def test_empty_series(spark):
     none = frame(spark, [])
     assert T.clusters(none).count() == 0 and T.regularity(none).count() == 0
     assert T.momentum(none, T.grid(none.groupBy("track").agg(F.max("t").alias("duration")), 0.5)).count() == 0
+
+
+def test_neighbours_in_a_long_track(spark):
+    """A hundred thousand rows of one track, both ways: a sort in each direction, nothing quadratic."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit("a").alias("track"), (F.col("id") * 1.5).alias("t"), F.col("id").cast("double").alias("v"))
+    points = spark.range(n).select(F.lit("a").alias("track"), F.col("id").alias("i"), F.col("id").cast("double").alias("t"))
+    began = time.time()
+    x = T.neighbours(points, rows, ["v"])
+    off = x.where((F.col("_back.v") != F.floor(F.col("t") / 1.5)) | (F.col("_ahead.v") != F.ceil(F.col("t") / 1.5)))
+    assert x.count() == n and off.count() == 0 and time.time() - began < 60
+    strict = T.asof(points.where("i < 10"), rows.where("t < 20"), "v", strict=True)
+    assert [r.v for r in strict.orderBy("i").collect()] == [None, 0, 1, 1, 2, 3, 3, 4, 5, 5]
+
+
+def test_several_values_share_a_pass(spark):
+    rows = spark.createDataFrame([("a", i, i * 0.5, float(i), float(-i)) for i in range(9)], "track string, frame long, t double, x double, y double")
+    m = T.moving_average(rows, ["x", "y"], 4, ["mx", "my"]).collect()
+    assert all(r.mx == -r.my for r in m) and len(m) == 9
+    g = T.grid(frame(spark, [("a", 3.0)], "track string, duration double"), 0.25)
+    assert all(r.x == -r.y == r.t * 2 for r in T.interpolate(g, rows, ["x", "y"]).collect())

@@ -1,6 +1,7 @@
 """Command line: listen, catalog, compare, frames, assemble, doctor.
 
-listen writes Parquet tables under --out: <module>_summary, <module>_stream, events, rejects and the catalog.
+listen writes Parquet tables under --out: <module>_summary, <module>_stream, events, rejects and the catalog; and the
+documents <module>.json (summaries) and <module>_stream.json, which sources.analysis reads.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ import importlib.util
 import sys
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import divergence_marker, format_time, valid_slug
 from .operators import catalog as K
+from .operators import events as E
 from .plans import modules as M
 from .plans import prompt as P
 from .session import build_session
@@ -36,13 +38,18 @@ def listen(spark: SparkSession, path: str, out: str, only: list[str] | None = No
     for name, tables in M.analyse(good, only, skip).items():
         if len(tables) > 1:
             tables[0].write.mode("overwrite").parquet(f"{out}/{name}_stream")
+            stream = spark.read.parquet(f"{out}/{name}_stream").drop("i")
+            A.write_module(A.as_stream(stream.select("t", *[c for c, k in stream.dtypes if c != "t" and not k.startswith("map")])), out, f"{name}_stream", pretty=False)
         if len(tables) == 3:
             tables[1].write.mode("overwrite").parquet(f"{out}/events")
         tables[-1].write.mode("overwrite").parquet(f"{out}/{name}_summary")
-        summaries.append((name, spark.read.parquet(f"{out}/{name}_summary")))
+        summary = spark.read.parquet(f"{out}/{name}_summary")
+        A.write_module(_with_events(summary, out) if name == "perception" else summary, out, name)
+        summaries.append((name, summary))
     if index and summaries:
         first = dict(summaries)
-        flat = lambda df: df.select("track", *[c for c, t in df.dtypes if c != "track" and t in ("double", "bigint", "int")])
+        texts = [t for names in K.TEXTS.values() for t in names]
+        flat = lambda df: df.select("track", *[c for c, t in df.dtypes if c != "track" and (t in ("double", "bigint", "int") or c in texts)])
         base = flat(first["perception"]) if "perception" in first else flat(summaries[0][1]).select("track")
         others = [flat(df).drop(*[c for c in base.columns if c != "track"]) for n, df in summaries if n != "perception"]
         seen: set[str] = set(base.columns)
@@ -50,12 +57,17 @@ def listen(spark: SparkSession, path: str, out: str, only: list[str] | None = No
             others[i] = df.drop(*[c for c in df.columns if c != "track" and c in seen])
             seen |= set(others[i].columns)
         new = K.index_metrics(base, others)
-        merged = K.upsert(read(spark, out, "catalog"), new)
-        merged.write.mode("overwrite").parquet(f"{out}/catalog_new")  # the old table is read while this is written
-        K.save(spark.read.parquet(f"{out}/catalog_new"), f"{out}/catalog")
+        K.save(K.upsert(read(spark, out, "catalog"), new), f"{out}/catalog")
     return spark.read.parquet(f"{out}/rejects")
 
 
+def _with_events(summary: DataFrame, out: str) -> DataFrame:
+    """The perception summary with its events, as its document holds them."""
+    events = summary.sparkSession.read.parquet(f"{out}/events")
+    listed = events.groupBy("track").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.struct(*[c for c in events.columns if c not in ("track", "seq")]).alias("e")))), lambda s: s.e).alias("pattern_breaks"))
+    return summary.join(listed, "track", "left")
+
+
 def values(spark: SparkSession, out: str) -> DataFrame:
     tables = {m: t for m in MODULES if (t := read(spark, out, f"{m}_summary")) is not None}
     if not tables:
@@ -64,10 +76,18 @@ def values(spark: SparkSession, out: str) -> DataFrame:
 
 
 def compare(spark: SparkSession, out: str, a: str, b: str) -> DataFrame:
-    x = K.compare(values(spark, out), a, b)
+    known = values(spark, out)
+    if missing := sorted({a, b} - {r["track"] for r in known.where(F.col("track").isin(a, b)).select("track").distinct().collect()}):
+        raise ValueError(f"no analysis of {', '.join(missing)}")
+    x = K.compare(known, a, b)
     return x.withColumn("marker", divergence_marker(F.col("divergence"))).orderBy(F.desc_nulls_last("divergence"), "metric")
 
 
+def hp_balance(h: Column, p: Column) -> Column:
+    """A whole track's balance, null without energy."""
+    return (p - h) / F.nullif(p + h, F.lit(0.0))
+
+
 def assemble(spark: SparkSession, out: str, track: str, mode: str = "full", contexts: str | None = None, template: str = "none", docs: str | None = None) -> str:
     """The text packet of one track."""
     tables = [t.where(F.col("track") == track) for m in MODULES if (t := read(spark, out, f"{m}_summary")) is not None]
@@ -83,7 +103,7 @@ def assemble(spark: SparkSession, out: str, track: str, mode: str = "full", cont
     base = spark.createDataFrame([(track,)], "track string")
     row = reduce(lambda x, y: x.join(y, "track", "left"), parts, base)
     if {"harmonic_energy", "percussive_energy"} <= set(row.columns):
-        row = row.withColumn("hp_balance", (F.col("percussive_energy") - F.col("harmonic_energy")) / F.nullif(F.col("percussive_energy") + F.col("harmonic_energy"), F.lit(0.0)))
+        row = row.withColumn("hp_balance", hp_balance(F.col("harmonic_energy"), F.col("percussive_energy")))
     events = read(spark, out, "events")
     if events is not None:
         listed = events.where(F.col("track") == track).groupBy("track").agg(F.collect_list(F.struct("time", "type", "intensity", "duration", "depth_db", "from", "to")).alias("_e"))
@@ -106,6 +126,24 @@ def frames(spark: SparkSession, out: str, target: int, ratio: float) -> DataFram
     return plan.withColumn("at", format_time(F.col("time"))).orderBy("track", "time")
 
 
+def moments(spark: SparkSession, out: str, target: int = 12, ratio: float = 0.6, descriptions: DataFrame | None = None) -> DataFrame:
+    """What is to be described of every track: anchors of one event as one row, coverage times alone (the plan of frames()).
+
+    With ``descriptions`` (track, place, description) the described moments go into the tracks' contexts.
+    """
+    groups = E.description_groups(frames(spark, out, target, ratio))
+    if descriptions is None:
+        return groups
+    anchor = F.col("group").isNotNull()
+    x = groups.join(descriptions.select("track", "place", "description"), ["track", "place"]).select(
+        "track", F.coalesce("event_time", "time").alias("time"), F.when(anchor, "anchor").otherwise("coverage").alias("kind"), F.when(anchor, "anchor").otherwise("coverage").alias("role"), F.col("event_type").alias("event"),
+        F.col("frames.time").alias("window"), F.col("frames.role").alias("roles"), "description",
+    )
+    contexts = A.load_context(spark, out).select("track", F.to_json("context").alias("context"))
+    A.write_contexts(A.with_descriptions(contexts, x), out)
+    return groups
+
+
 def doctor() -> dict[str, bool]:
     return {name: importlib.util.find_spec(name) is not None for name in ("pyspark", "pyarrow", "pandas", "numpy")}
 
@@ -140,7 +178,7 @@ def main(argv: list[str] | None = None) -> int:
         rejects = listen(spark, a.path, a.out, a.only, a.skip, not a.no_catalog).collect()
         print("\n".join(f"{r.track}: {r.reason} ({r.duration:.1f} s)" for r in rejects))
     elif a.verb == "catalog":
-        v = K.long_form(spark.read.parquet(f"{a.out}/catalog"))
+        v = K.long_form(read(spark, a.out, "catalog"))
         if a.track:
             card = K.summary_cards(v).where(F.col("track") == a.track).first()
             print(card["card"] if card else f"{a.track!r} is not in the catalog")

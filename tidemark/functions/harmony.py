@@ -55,21 +55,29 @@ def _profiles() -> list[tuple[str, str, int, list[float]]]:
     return [x for k in range(12) for x in ((NOTES[k], "major", k, turned(MAJOR, k)), (NOTES[k], "minor", k, turned(MINOR, k)))]
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def detect_key(chroma: Column) -> Column:
     """struct<key, mode, root, confidence>: the best correlated of 24 profiles, the first of equals; ``?`` for a flat or silent chroma."""
-    mean = total(chroma) / 12
-    centred = F.transform(chroma, lambda x: x - mean)
-    spread = norm(centred)
-    scored = []
+    rows = []
     for i, (key, mode, root, profile) in enumerate(_profiles()):
-        m = sum(profile) / 12
-        c = [x - m for x in profile]
-        r = total(F.zip_with(centred, F.array(*map(F.lit, c)), lambda x, y: x * y)) / (spread * (sum(x * x for x in c) ** 0.5))
-        scored.append(F.struct(F.round(r, 10).alias("r"), F.lit(-i).alias("i"), F.lit(key).alias("key"), F.lit(mode).alias("mode"), F.lit(root).alias("root")))
+        centre = [x - sum(profile) / 12 for x in profile]
+        size = sum(x * x for x in centre) ** 0.5
+        rows.append(F.struct(F.lit(-i).alias("i"), F.lit(key).alias("key"), F.lit(mode).alias("mode"), F.lit(root).alias("root"), F.array(*map(F.lit, centre)).alias("c"), F.lit(size).alias("size")))
+    profiles = F.array(*rows)
     none = F.struct(F.lit("?").alias("key"), F.lit("?").alias("mode"), F.lit(-1).alias("root"), F.lit(0.0).alias("confidence"))
-    best = F.array_max(F.array(*scored))
-    found = F.struct(best.key.alias("key"), best["mode"].alias("mode"), best.root.alias("root"), F.round(F.greatest(F.lit(0.0), best.r), 4).alias("confidence"))
-    return F.when((total(chroma) < 0.001) | (spread < 1e-12), none).otherwise(found)
+
+    def best(b: Column) -> Column:
+        scored = F.transform(profiles, lambda p: F.struct(F.round(dot(b.c, p.c) / (b.spread * p.size), 10).alias("r"), p.i, p.key, p.mode, p.root))
+        found = _bound(F.array_max(scored), lambda w: F.struct(w.key.alias("key"), w["mode"].alias("mode"), w.root.alias("root"), F.round(F.greatest(F.lit(0.0), w.r), 4).alias("confidence")))
+        return F.when((b.sum < 0.001) | (b.spread < 1e-12), none).otherwise(found)
+
+    centred = lambda s: F.struct(s.alias("sum"), F.transform(chroma, lambda x: x - s / 12).alias("c"))
+    spread = lambda b: F.struct(b.sum.alias("sum"), b.c.alias("c"), norm(b.c).alias("spread"))
+    return _bound(_bound(_bound(total(chroma), centred), spread), best)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -91,6 +91,11 @@ def divergence_marker(x: Column) -> Column:
     return ladder(x, [(0.5, "##"), (0.2, "++"), (0.1, "..")], "")
 
 
+def encode_image(content: Column) -> Column:
+    """An image's bytes as base64 text."""
+    return F.base64(content)
+
+
 def valid_slug(s: Column) -> Column:
     return s.rlike(r"^[A-Za-z0-9._-]+$") & ~s.isin(".", "..")
 
@@ -99,18 +104,31 @@ def valid_video_url(s: Column) -> Column:
     return s.rlike(r"^https?://(www\.)?(youtube\.com/watch\?.*v=|youtu\.be/)[A-Za-z0-9_\-]{11}")
 
 
+#: What the downloader's log says of a challenge failure; fixed values.
+CHALLENGE_MARKERS = ("remote components challenge solver", "challenge solving failed", "n challenge", "some formats may be missing", "ejs")
+
+
 def is_challenge_failure(log: Column) -> Column:
     """The downloader's log names a challenge failure, after which one retry is due."""
-    return log.rlike("(?i)remote components challenge solver|challenge solving failed|n challenge|some formats may be missing|ejs")
+    out = F.lit(False)
+    for marker in CHALLENGE_MARKERS:
+        out = out | F.lower(log).contains(marker)
+    return out
+
+
+#: What a slug loses or turns into another text, in order, before and after blanks become hyphens; fixed values.
+SLUG_FIRST = ((r"\([^)]*\)", ""), (r"\[[^\]]*\]", ""), ("[–—/|]+", " "), (r"\bft\..*$|\bfeat\..*$", ""), (r"[^a-z0-9\s-]", ""))
+SLUG_THEN = ((r"\s+", "-"), ("-{2,}", "-"), ("^-+|-+$", ""))
 
 
 def slugify(s: Column) -> Column:
-    steps = [(r"\([^)]*\)", ""), (r"\[[^\]]*\]", ""), ("[–—/|]+", " "), (r"\bft\..*$|\bfeat\..*$", ""), (r"[^a-z0-9\s-]", "")]
     out = F.lower(s)
-    for pattern, by in steps:
+    for pattern, by in SLUG_FIRST:
+        out = F.regexp_replace(out, pattern, by)
+    out = F.trim(out)
+    for pattern, by in SLUG_THEN:
         out = F.regexp_replace(out, pattern, by)
-    out = F.regexp_replace(F.trim(out), r"\s+", "-")
-    return F.substring(F.regexp_replace(F.regexp_replace(out, "-{2,}", "-"), "^-+|-+$", ""), 1, 80)
+    return F.substring(out, 1, 80)
 
 
 def artist_title(title: Column, uploader: Column) -> Column:

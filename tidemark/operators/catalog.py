@@ -42,16 +42,31 @@ def stats(values: DataFrame) -> DataFrame:
     return agg.where("n >= 2")
 
 
+BUCKETS = 64  # ranges of a metric's values that are ranked apart
+
+
 def rank(values: DataFrame) -> DataFrame:
     """rank (1 + number below), percentile and z-score of every value; metrics with fewer than two values are left out.
 
-    One window per metric: a metric's rows meet in one task, which holds one number per track.
+    Distinct values are counted before they are ordered, and a metric's are ordered in BUCKETS ranges, each a window of
+    its own that starts at the number of values below it: neither a metric nor a value that many tracks share meets
+    in one task. The ranges' bounds (BUCKETS numbers a metric) pass through the driver, so that one cut holds throughout.
     """
-    w = Window.partitionBy("metric").orderBy("value")
-    whole = Window.partitionBy("metric")
-    x = values.select("track", "metric", "value", F.rank().over(w).alias("rank"), (F.percent_rank().over(w) * 100).alias("p"), F.round(F.avg("value").over(whole), 4).alias("m"), F.round(F.stddev_pop("value").over(whole), 4).alias("s"), F.count("*").over(whole).alias("of"))
+    spark = values.sparkSession
+    whole = values.groupBy("metric").agg(F.count("*").alias("of"), F.round(F.avg("value"), 4).alias("m"), F.round(F.stddev_pop("value"), 4).alias("s")).where("of >= 2")
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = [(r["metric"], sorted(set(r["b"]))) for r in values.groupBy("metric").agg(F.percentile_approx("value", shares, F.lit(1000)).alias("b")).collect()]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "metric string, _b array<double>"))
+    counted = values.groupBy("metric", "value").agg(F.count("*").alias("_c")).join(cuts, "metric")
+    counted = counted.select("metric", "value", "_c", F.size(F.filter("_b", lambda b: b <= F.col("value"))).alias("_p"))
+    inside = F.sum("_c").over(Window.partitionBy("metric", "_p").orderBy("value")) - F.col("_c")
+    parts = counted.groupBy("metric", "_p").agg(F.sum("_c").alias("_n"))
+    parts = parts.select("metric", "_p", (F.sum("_n").over(Window.partitionBy("metric").orderBy("_p")) - F.col("_n")).alias("_before"))
+    ranked = counted.withColumn("_in", inside).join(parts, ["metric", "_p"]).select("metric", "value", (F.col("_before") + F.col("_in") + 1).alias("rank"))
+    x = values.select("track", "metric", "value").join(ranked, ["metric", "value"]).join(whole, "metric")
     z = F.when(F.col("s") > 0, F.round((F.col("value") - F.col("m")) / F.nullif("s", F.lit(0.0)), 2)).otherwise(0.0)
-    return x.where("of >= 2").select("track", "metric", "value", F.col("rank").cast("long").alias("rank"), "of", F.round("p", 1).alias("percentile"), z.alias("z_score"))
+    share = F.round((F.col("rank") - 1) / (F.col("of") - 1) * 100, 1)
+    return x.select("track", "metric", "value", F.col("rank").cast("long").alias("rank"), "of", share.alias("percentile"), z.alias("z_score"))
 
 
 def extremes(values: DataFrame, n: int = 3) -> DataFrame:
@@ -96,22 +111,50 @@ def upsert(old: DataFrame | None, new: DataFrame, order: str | None = None) -> D
     return new if old is None else old.join(new.select("track"), "track", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def load(spark: SparkSession, path: str, legacy: str | None = None) -> DataFrame | None:
-    """The catalog table at ``path``, or at the legacy path with its names read anew, or None."""
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, place) of the complete versions below ``path``, the newest last."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [str(s.getPath()) for s in fs.listStatus(at) if s.isDirectory()]
+    names = [(int(n), p) for p in found if (n := p.rsplit("/v", 1)[-1]).isdigit()]
+    return sorted((n, p) for n, p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS")))
+
+
+def load(spark: SparkSession, path: str, legacy: str | None = None, below: int | None = None) -> DataFrame | None:
+    """The newest version of the catalog at ``path`` (before version ``below``), else a plain table there, else the legacy table with its names read anew, else None."""
+    kept = [p for n, p in _versions(spark, path) if below is None or n < below]
+    if kept:
+        return legacy_names(spark.read.parquet(kept[-1]))
     for place in (path, legacy):
         if place:
             try:
                 return legacy_names(spark.read.parquet(place))
             except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
                     raise
     return None
 
 
-def save(catalog: DataFrame, path: str) -> None:
-    """The catalog and, beside it, its statistics."""
-    catalog.write.mode("overwrite").parquet(path)
-    stats(long_form(catalog)).write.mode("overwrite").parquet(f"{path}.stats")
+def save(catalog: DataFrame, path: str, version: int | None = None) -> None:
+    """``catalog`` as a new version below ``path``, and beside it its statistics with the number of tracks.
+
+    A version counts once it is complete, so a failure leaves the one before in place, which ``catalog`` may still be
+    reading; the last two are kept.
+    """
+    spark = catalog.sparkSession
+    old = _versions(spark, path)
+    version = version if version is not None else (old[-1][0] + 1 if old else 0)
+    catalog.write.mode("overwrite").parquet(f"{path}/v{version}")
+    fresh = spark.read.parquet(f"{path}/v{version}")
+    stats(long_form(fresh)).withColumn("track_count", F.lit(fresh.count())).write.mode("overwrite").parquet(f"{path}.stats")
+    jvm = spark.sparkContext._jvm
+    for n, place in old:
+        if n < version - 1:
+            at = jvm.org.apache.hadoop.fs.Path(place)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: The metrics that a catalog row keeps of each module, and the labels of those that a card shows; fixed values.
@@ -122,26 +165,43 @@ INDEXED = {
     "overtone": ["mean_series_fit", "mean_richness", "mean_inharmonicity"],
     "report": ["duration_seconds", "tempo_bpm", "beat_regularity", "percussion_ratio", "spectral_centroid_mean_hz"],
 }
+#: Text fields that a catalog row keeps beside them; fixed values.
+TEXTS = {"harmony": ["detected_key", "detected_mode"], "melody": ["overall_center_note"]}
+#: Label and description of each card metric, in order; fixed values.
 CARD = {
-    "mean_pattern_lock": "Pattern Lock", "mean_momentum": "Momentum", "silence_pct": "Silence %", "active_duration_sec": "Active Duration", "mean_temperament_alignment": "Temperament Alignment",
-    "mean_consonance_series": "Series Consonance", "mean_tension": "Tension", "mean_chroma_flux": "Chroma Flux", "overall_range_semitones": "Melodic Range", "mean_vocal_presence": "Vocal Presence",
-    "mean_series_fit": "Overtone Fit", "mean_richness": "Overtone Richness", "beat_regularity": "Beat Regularity", "key_confidence": "Key Confidence", "tempo_bpm": "Tempo",
+    "mean_pattern_lock": ("Pattern Lock", "higher = stronger pattern lock"),
+    "mean_momentum": ("Momentum", "higher = more locked in (active frames when silence >= 10%)"),
+    "silence_pct": ("Silence %", "fraction of track that is silence"),
+    "active_duration_sec": ("Active Duration", "seconds of non-silent audio"),
+    "mean_temperament_alignment": ("Temperament Alignment", "higher = more aligned with equal temperament"),
+    "mean_consonance_series": ("Series Consonance", "higher = closer to harmonic series (JI)"),
+    "mean_tension": ("Tension", "higher = more harmonic movement"),
+    "mean_chroma_flux": ("Chroma Flux", "higher = faster harmonic change"),
+    "overall_range_semitones": ("Melodic Range", "semitones"),
+    "mean_vocal_presence": ("Vocal Presence", "0-1"),
+    "mean_series_fit": ("Overtone Fit", "higher = purer harmonic series"),
+    "mean_richness": ("Overtone Richness", "fraction of harmonics present"),
+    "beat_regularity": ("Beat Regularity", "1.0 = metronomic"),
+    "key_confidence": ("Key Confidence", "KK profile correlation"),
+    "tempo_bpm": ("Tempo", "BPM"),
 }
 
 
-def summary_cards(values: DataFrame) -> DataFrame:
+def summary_cards(values: DataFrame, card: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """(track, card): a line for each card metric with its value, rank and z-score; metrics of one track alone show the value."""
-    r = rank(values).select("track", "metric", F.format_string(" (rank %d/%d, z=%+.1f)", "rank", "of", "z_score").alias("_r"))
-    label = F.create_map(*[F.lit(x) for kv in CARD.items() for x in kv])
-    place = F.array_position(F.array(*map(F.lit, CARD)), F.col("metric"))
-    x = values.where(F.col("metric").isin(list(CARD))).join(r, ["track", "metric"], "left")
-    line = F.concat(F.lit("  "), label[F.col("metric")], F.format_string(": %.3f", "value"), F.coalesce("_r", F.lit("")))
+    card = card or CARD
+    r = rank(values).select("track", "metric", F.format_string(" (rank %d/%d, z=%s%.1f)", F.col("rank"), F.col("of"), F.when(F.col("z_score") < 0, "-").otherwise("+"), F.abs(F.round("z_score", 1))).alias("_r"))
+    words = F.create_map(*[x for k, (a, b) in card.items() for x in (F.lit(k), F.struct(F.lit(a).alias("label"), F.lit(b).alias("about")))])
+    place = F.array_position(F.array(*map(F.lit, card)), F.col("metric"))
+    x = values.where(F.col("metric").isin(list(card))).join(r, ["track", "metric"], "left")
+    word = words[F.col("metric")]
+    line = F.concat(F.lit("  "), word.label, F.format_string(": %.3f", F.round("value", 3)), F.coalesce("_r", F.lit("")), F.lit(" -- "), word.about)
     lines = F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), line.alias("x")))), lambda s: s.x)
-    return x.groupBy("track").agg(F.concat(F.lit("=== "), F.first("track").cast("string"), F.lit(" - catalog position ===\n\n"), F.array_join(lines, "\n")).alias("card"))
+    return x.groupBy("track").agg(F.concat(F.lit("=== "), F.first("track").cast("string"), F.lit(" -- Catalog Position ===\n\n"), F.array_join(lines, "\n")).alias("card"))
 
 
-def rebuild(analysis: DataFrame, metric) -> DataFrame:
-    """One wide row per track from (track, one variant for each module); ``metric(module, name)`` reads a number of a module's document.
+def rebuild(analysis: DataFrame, metric, text=None) -> DataFrame:
+    """One wide row per track from (track, one variant for each module); ``metric(module, name)`` reads a number of a module's document, ``text`` a text.
 
     Tracks without any module are left out; older names count where the new ones lack.
     """
@@ -153,4 +213,6 @@ def rebuild(analysis: DataFrame, metric) -> DataFrame:
         quiet = F.coalesce(metric("perception", "silence_pct"), F.lit(0.0)) >= ACTIVE_FROM
         for n in ("mean_momentum", "mean_pattern_lock"):
             cols[n] = F.when(quiet, F.coalesce(metric("perception", f"{n}_active"), cols[n])).otherwise(cols[n])
+    if text is not None:
+        cols |= {n: text(m, n) for m in modules for n in TEXTS.get(m, [])}
     return some.select("track", *[c.alias(n) for n, c in cols.items()])

@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 SR, HOP, FRAME = 22_050, 512, 2_048
+BLOCK = 512  # frames that a kernel holds at once, so that memory does not grow with a track beyond its results
 
 
 def framed(y: np.ndarray, size: int, hop: int, centre: bool = True) -> np.ndarray:
@@ -28,11 +29,18 @@ def rms(y: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, total[np.minimum(at + size, len(y))] - total[at]) / size)
 
 
+def _window(size: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+
+
 def stft(y: np.ndarray, size: int = FRAME, hop: int = HOP, only: np.ndarray | None = None) -> np.ndarray:
-    """Magnitudes [frame, bin] with a periodic Hann window; ``only`` picks frames before they are transformed."""
+    """Magnitudes [frame, bin] (32 bits) with a periodic Hann window; ``only`` picks frames before they are transformed."""
     f = framed(y, size, hop)
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-    return np.abs(np.fft.rfft((f if only is None else f[only]) * window, axis=1))
+    at = np.arange(len(f)) if only is None else np.asarray(only, dtype=np.int64)
+    out = np.empty((len(at), size // 2 + 1), np.float32)
+    for i in range(0, len(at), BLOCK):
+        out[i : i + BLOCK] = np.abs(np.fft.rfft(f[at[i : i + BLOCK]] * _window(size), axis=1))
+    return out
 
 
 def frequencies(size: int = FRAME, sr: int = SR) -> np.ndarray:
@@ -140,55 +148,166 @@ def beats(strength: np.ndarray, sr: int = SR, hop: int = HOP) -> tuple[float, np
 
 
 def _median(s: np.ndarray, size: int, axis: int) -> np.ndarray:
-    pad = [(0, 0), (0, 0)]
-    pad[axis] = (size // 2, size // 2)
-    wide = np.pad(s, pad, mode="reflect" if s.shape[axis] > size // 2 else "edge")
-    return np.median(np.lib.stride_tricks.sliding_window_view(wide, size, axis=axis), axis=-1)
+    """Running median along ``axis``, mirrored at the ends; worked through in stripes across it."""
+    if axis == 1:
+        return _median(s.T, size, 0).T
+    wide = np.pad(s, ((size // 2, size // 2), (0, 0)), mode="reflect" if len(s) > size // 2 else "edge")
+    out = np.empty_like(s)
+    width = max(1, (8 << 20) // (size * max(1, len(s)) * s.itemsize))
+    for i in range(0, s.shape[1], width):
+        around = np.lib.stride_tricks.sliding_window_view(wide[:, i : i + width], size, axis=0)
+        out[:, i : i + width] = np.partition(around, size // 2, axis=-1)[..., size // 2]
+    return out
 
 
 def hpss(s: np.ndarray, size: int = 31) -> tuple[np.ndarray, np.ndarray]:
     """Harmonic and percussive parts of magnitudes [frame, bin]: median filters along time and frequency, soft masks."""
-    h, p = _median(s, size, 0), _median(s, size, 1)
-    total = h * h + p * p
-    mask = np.where(total > 0, h * h / np.where(total > 0, total, 1), 0.5)
+    mask = _harmonic_mask(s, size)
     return s * mask, s * (1 - mask)
 
 
-def chroma(s: np.ndarray, freq: np.ndarray) -> np.ndarray:
-    """Twelve pitch classes [frame, 12] from C1 to C8, with Gaussian note bands, largest 1 (0 in silence)."""
-    note = np.arange(24, 108)
-    with np.errstate(divide="ignore"):
-        midi = 12 * np.log2(np.maximum(freq, 1e-9) / 440) + 69
-    width = np.maximum(0.35, 12 * np.log2(1 + (freq[1] - freq[0]) / np.maximum(freq, freq[1])) / 2)
-    bank = np.exp(-0.5 * ((midi[None, :] - note[:, None]) / width[None, :]) ** 2) * (freq > 0)
-    bank /= np.maximum(bank.sum(1, keepdims=True), 1e-12)
-    e = (s * s) @ bank.T
-    c = np.sqrt(np.stack([e[:, k::12].sum(1) for k in range(12)], axis=1))
+def _harmonic_mask(s: np.ndarray, size: int = 31) -> np.ndarray:
+    h, p = _median(s, size, 0) ** 2, _median(s, size, 1) ** 2
+    total = h + p
+    return np.divide(h, total, out=np.full_like(total, 0.5), where=total > 0)
+
+
+def harmonic_part(y: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndarray:
+    """The signal whose spectrum is the harmonic part of y's: masked frames, windowed again and overlapped."""
+    y = np.asarray(y, dtype=np.float64)
+    mask, f, window = _harmonic_mask(stft(y, size, hop)), framed(y, size, hop), _window(size)
+    out, weight = np.zeros(len(y) + 2 * size), np.zeros(len(y) + 2 * size)
+    for i in range(0, len(f), BLOCK):
+        back = np.fft.irfft(np.fft.rfft(f[i : i + BLOCK] * window, axis=1) * mask[i : i + BLOCK], size, axis=1) * window
+        for k, row in enumerate(back, i):
+            out[k * hop : k * hop + size] += row
+            weight[k * hop : k * hop + size] += window * window
+    half = size // 2
+    return (out / np.maximum(weight, 1e-8))[half : half + len(y)]
+
+
+OCTAVES = 7  # from C1 (32.7 Hz)
+_HALF_BAND = 0.5 * np.sinc(np.arange(-31, 32) / 2) * np.hanning(65)[1:-1]
+
+
+def constant_q(y: np.ndarray, sr: int = SR, hop: int = HOP, low: float = 440 * 2 ** (-45 / 12)) -> np.ndarray:
+    """Magnitudes [frame, note] of 12 notes an octave over OCTAVES from ``low``, each with a window of 1 / (2^(1/12) - 1) periods.
+
+    An octave's twelve kernels serve all: the signal is halved in rate from octave to octave, from the highest down.
+    """
+    y = np.asarray(y, dtype=np.float64)
+    frames, quality = 1 + len(y) // hop, 1 / (2 ** (1 / 12) - 1)
+    notes = low * 2 ** (OCTAVES - 1) * 2 ** (np.arange(12) / 12)
+    size = 1 << int(np.ceil(np.log2(quality * sr / notes[0])))
+    at = np.arange(size) - size // 2
+    width = (quality * sr / notes)[:, None]
+    kernel = np.where(np.abs(at) <= width / 2, 0.5 + 0.5 * np.cos(2 * np.pi * at / width), 0) * np.exp(-2j * np.pi * notes[:, None] * at / sr) / width
+    out = np.zeros((frames, 12 * OCTAVES))
+    for octave in range(OCTAVES - 1, -1, -1):
+        halved = OCTAVES - 1 - octave
+        wide = np.pad(y, (size // 2, size // 2 + hop))
+        view = np.lib.stride_tricks.sliding_window_view(wide, size)
+        centre = np.minimum(np.arange(frames) * hop >> halved, len(view) - 1)
+        for i in range(0, frames, 4 * BLOCK):
+            out[i : i + 4 * BLOCK, 12 * octave : 12 * octave + 12] = np.abs(view[centre[i : i + 4 * BLOCK]] @ kernel.T)
+        y = np.convolve(y, _HALF_BAND, "same")[::2] if len(y) > len(_HALF_BAND) else y[::2]
+    return out
+
+
+def chroma(y: np.ndarray, sr: int = SR, hop: int = HOP) -> np.ndarray:
+    """Twelve pitch classes [frame, 12]: constant-Q magnitudes summed over the octaves, the largest 1 (0 in silence)."""
+    e = constant_q(y, sr, hop)
+    c = e.reshape(len(e), OCTAVES, 12).sum(1)
     top = c.max(1, keepdims=True)
     return np.where(top > 1e-8, c / np.where(top > 0, top, 1), 0.0)
 
 
-def pitch(y: np.ndarray, low: float, high: float, sr: int = SR, size: int = FRAME, hop: int = HOP, threshold: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
-    """(f0 with NaN where unvoiced, voiced probability): the first dip of the normalised difference below ``threshold``, refined by a parabola."""
-    f = framed(y, 2 * size, hop)
-    head, n = f[:, :size], 4 * size
-    corr = np.fft.irfft(np.fft.rfft(f, n, axis=1) * np.conj(np.fft.rfft(head, n, axis=1)), axis=1)[:, :size]
+THRESHOLDS = np.arange(1, 101) / 100
+_beta = THRESHOLDS * (1 - THRESHOLDS) ** 17  # density of a beta distribution with parameters 2 and 18, mean 0.1
+PRIOR = _beta / _beta.sum()
+CENTS_A_STATE = 10.0
+_ABSENT = 0.01  # weight of the deepest dip where no threshold is met
+
+
+def _differences(f: np.ndarray, size: int) -> np.ndarray:
+    """Cumulative-mean-normalised difference [frame, lag] of frames of 2 * size samples."""
+    n = 4 * size
+    corr = np.fft.irfft(np.fft.rfft(f, n, axis=1) * np.conj(np.fft.rfft(f[:, :size], n, axis=1)), axis=1)[:, :size]
     energy = np.concatenate([np.zeros((len(f), 1)), np.cumsum(f * f, axis=1)], axis=1)
     lag = np.arange(size)
     diff = np.maximum(0, energy[:, [size]] + energy[:, lag + size] - energy[:, lag] - 2 * corr)
-    norm = np.ones_like(diff)
-    total = np.cumsum(diff[:, 1:], axis=1)
-    norm[:, 1:] = diff[:, 1:] * lag[1:] / np.maximum(total, 1e-12)
-    first, last = max(2, int(sr / high)), min(size - 2, int(sr / low) + 1)
+    out = np.ones_like(diff)
+    out[:, 1:] = diff[:, 1:] * lag[1:] / np.maximum(np.cumsum(diff[:, 1:], axis=1), 1e-12)
+    return out
+
+
+def _candidates(norm: np.ndarray, loud: np.ndarray, low: float, high: float, sr: int, states: int) -> np.ndarray:
+    """Probability of each pitch state [frame, state]: every threshold votes, with its prior, for the first dip below it."""
+    first, last = max(2, int(sr / high)), min(norm.shape[1] - 2, int(np.ceil(sr / low)))
     d = norm[:, first : last + 1]
-    dip = (d < threshold) & (d <= np.roll(norm, 1, 1)[:, first : last + 1]) & (d <= np.roll(norm, -1, 1)[:, first : last + 1])
-    best = np.where(dip.any(1), dip.argmax(1), d.argmin(1)) + first
-    rows = np.arange(len(f))
-    a, b, c = norm[rows, best - 1], norm[rows, best], norm[rows, best + 1]
-    bend = a - 2 * b + c
-    shift = np.where(np.abs(bend) > 1e-12, 0.5 * (a - c) / np.where(np.abs(bend) > 1e-12, bend, 1), 0.0)
-    prob = np.clip(1 - b / (2 * threshold), 0, 1) * (np.sqrt((head * head).mean(1)) > 1e-4)
-    return np.where(prob > 0.5, sr / (best + np.clip(shift, -0.5, 0.5)), np.nan), prob
+    dip = (d <= norm[:, first - 1 : last]) & (d < norm[:, first + 1 : last + 2])
+    out = np.zeros((len(norm), states))
+    for i in np.flatnonzero(loud):
+        at = np.flatnonzero(dip[i])
+        if not len(at):
+            continue
+        depth = np.minimum.accumulate(d[i, at])  # the first dip below a threshold is one that is deeper than all before it
+        leads = np.flatnonzero(np.r_[True, depth[1:] < depth[:-1]])
+        which = np.searchsorted(-depth[leads], -THRESHOLDS, side="right")  # the first lead below each threshold
+        met = which < len(leads)
+        weight = np.bincount(which[met], weights=PRIOR[met], minlength=len(leads))
+        weight[-1] += _ABSENT * PRIOR[~met].sum()
+        lag = at[leads] + first
+        a, b, c = norm[i, lag - 1], norm[i, lag], norm[i, lag + 1]
+        bend = a - 2 * b + c
+        shift = np.divide(0.5 * (a - c), bend, out=np.zeros_like(bend), where=np.abs(bend) > 1e-12)
+        place = np.rint(1200 * np.log2(sr / (lag + np.clip(shift, -0.5, 0.5)) / low) / CENTS_A_STATE)
+        np.add.at(out[i], np.clip(place, 0, states - 1).astype(np.int64), weight)
+    return out
+
+
+def pitch(y: np.ndarray, low: float, high: float, sr: int = SR, size: int = FRAME, hop: int = HOP, reach: float = 36.0, switch: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """(f0 with NaN where unvoiced, voiced probability) by probabilistic YIN.
+
+    Every frame's dips are pitch candidates, weighted by how many thresholds choose them; a Viterbi path over a lattice
+    of CENTS_A_STATE, voiced and unvoiced, moves at most ``reach`` semitones a second and switches voicing rarely.
+    """
+    f = framed(y, 2 * size, hop)
+    states = int(np.ceil(1200 * np.log2(high / low) / CENTS_A_STATE)) + 1
+    seen = np.empty((len(f), states), np.float32)
+    for i in range(0, len(f), BLOCK):
+        part = f[i : i + BLOCK]
+        loud = np.sqrt((part[:, :size] ** 2).mean(1)) > 1e-4
+        seen[i : i + BLOCK] = _candidates(_differences(part, size), loud, low, high, sr, states)
+    voiced = np.minimum(seen.sum(1), 1.0)
+    far = max(1, int(round(reach * 100 / CENTS_A_STATE * hop / sr)))
+    step = np.log((far + 1 - np.abs(np.arange(-far, far + 1))) / (far + 1) ** 2)
+    stay, leave = np.log(1 - switch), np.log(switch)
+    on, off = np.full(states, -np.log(2 * states)), np.full(states, -np.log(2 * states))
+    moves = np.empty((len(f), 2, states), np.int8)  # the step into each state
+    turned = np.empty((len(f), 2, states), bool)  # whether voicing switched there
+    for t in range(len(f)):
+        best = []
+        for x in (on, off):
+            around = np.lib.stride_tricks.sliding_window_view(np.pad(x, far, constant_values=-np.inf), 2 * far + 1) + step
+            k = around.argmax(1)
+            best.append((around[np.arange(states), k], k - far))
+        (a, ka), (b, kb) = best
+        to_on, to_off = a + stay < b + leave, b + stay < a + leave
+        moves[t, 0], moves[t, 1] = np.where(to_on, kb, ka), np.where(to_off, ka, kb)
+        turned[t, 0], turned[t, 1] = to_on, to_off
+        on = np.where(to_on, b + leave, a + stay) + np.log(seen[t] + 1e-12)
+        off = np.where(to_off, a + leave, b + stay) + np.log((1 - voiced[t]) / states + 1e-12)
+        top = max(on.max(), off.max())
+        on, off = on - top, off - top
+    side = int(off.max() > on.max())
+    at = int((on, off)[side].argmax())
+    f0 = np.full(len(f), np.nan)
+    for t in range(len(f) - 1, -1, -1):
+        if side == 0:
+            f0[t] = low * 2 ** (at * CENTS_A_STATE / 1200)
+        at, side = at + int(moves[t, side, at]), side ^ int(turned[t, side, at])
+    return f0, voiced
 
 
 def spectral_peaks(mags: np.ndarray, freqs: np.ndarray, n: int = 30, least_db: float = -60.0, distance: int = 3, prominence: float = 3.0) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,9 @@
 """Generic operators on ordered series: grids, band aggregates, as-of and interpolating joins, smoothing, islands.
 
 Series are DataFrames with a ``track`` column; every operator works per track and shuffles by it at most once per
-side. Interval joins are written as equi-joins by expanding a row to the grid points whose window holds it.
+side. Interval joins are written as equi-joins by expanding a row to the grid points whose window holds it. Ordered
+windows hold one track in a task: a track's rows grow with its length (a few thousand for a piece of music), not with
+the number of tracks.
 """
 
 from __future__ import annotations
@@ -58,40 +60,50 @@ def window_average(rows: DataFrame, points: DataFrame, value: str, width: float,
     return points.join(agg, ["track", "i"], "left").select("track", "i", "t", F.coalesce("_v", F.lit(0.0)).alias(value))
 
 
-def asof(points: DataFrame, rows: DataFrame, value: str, strict: bool = False, forward: bool = False) -> DataFrame:
-    """``points`` (track, i, t) with the latest row's ``value`` and time ``_at`` at or before t (``strict``: before; ``forward``: the first at or after).
+def neighbours(points: DataFrame, rows: DataFrame, values: list[str], strict: bool = False, ahead: bool = True) -> DataFrame:
+    """``points`` (track, i, t) with the nearest rows as structs of time ``at`` and ``values``.
 
-    A union ordered by time and one window per track: no range join.
+    ``_back`` is the latest row at or before t (``strict``: before), ``_ahead`` the first at or after. One union and one
+    exchange; both windows grow from their own end, so a track costs a sort in each direction. A track is one task.
     """
-    side = 0 if strict or forward else 1  # order of a point among rows of its time
-    both = points.select("track", "t", F.lit(side).alias("_o"), "i", F.lit(None).cast("double").alias("_at"), F.lit(None).cast(dict(rows.dtypes)[value]).alias("_v")).unionByName(
-        rows.select("track", "t", F.lit(1 - side).alias("_o"), F.lit(None).cast("long").alias("i"), F.col("t").alias("_at"), F.col(value).alias("_v"))
-    )
-    w = Window.partitionBy("track").orderBy("t", "_o")
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
-    return both.withColumn("_p", pick(F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_v").alias("v"))), ignorenulls=True).over(w)).where("i IS NOT NULL").select("track", "i", "t", F.col("_p.at").alias("_at"), F.col("_p.v").alias(value))
+    kinds = dict(rows.dtypes)
+    row = F.struct(F.col("t").alias("at"), *values)
+    none = F.lit(None).cast("struct<at:double," + ",".join(f"`{v}`:{kinds[v]}" for v in values) + ">")
+    both = points.select("track", "t", F.lit(1).alias("_p"), "i", none.alias("_r")).unionByName(rows.select("track", F.col("t").cast("double").alias("t"), F.lit(0).alias("_p"), F.lit(None).cast("long").alias("i"), row.alias("_r")))
+    here = F.desc("_p") if strict else F.asc("_p")  # a point among the rows of its time
+    up = Window.partitionBy("track").orderBy("t", here).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("track").orderBy(F.desc("t"), "_p").rowsBetween(Window.unboundedPreceding, 0)
+    found = {"_back": F.last("_r", ignorenulls=True).over(up)} | ({"_ahead": F.last("_r", ignorenulls=True).over(down)} if ahead else {})
+    return both.withColumns(found).where("i IS NOT NULL").select("track", "i", "t", *found)
+
+
+def asof(points: DataFrame, rows: DataFrame, value: str, strict: bool = False) -> DataFrame:
+    """``points`` (track, i, t) with the latest row's ``value`` and time ``_at`` at or before t (``strict``: before)."""
+    return neighbours(points, rows, [value], strict, ahead=False).select("track", "i", "t", F.col("_back.at").alias("_at"), F.col(f"_back.{value}").alias(value))
 
 
-def interpolate(points: DataFrame, knots: DataFrame, value: str) -> DataFrame:
-    """Linear interpolation of ``value`` between knots (null values left out), clamped at both ends."""
-    knots = knots.where(F.col(value).isNotNull())
-    back = asof(points, knots, value).withColumnsRenamed({"_at": "_t0", value: "_v0"})
-    ahead = asof(points, knots, value, forward=True).select("track", "i", F.col("_at").alias("_t1"), F.col(value).alias("_v1"))
-    x = back.join(ahead, ["track", "i"])
-    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide(F.col("t") - F.col("_t0"), F.col("_t1") - F.col("_t0"))
-    return x.select("track", "i", "t", F.coalesce(line, F.col("_v0"), F.col("_v1")).alias(value))
+def interpolate(points: DataFrame, knots: DataFrame, value: str | list[str]) -> DataFrame:
+    """Linear interpolation between knots, clamped at both ends; knots where any of the values is null are left out."""
+    values = [value] if isinstance(value, str) else list(value)
+    x = neighbours(points, knots.dropna(subset=values), values)
+    share = F.try_divide(F.col("t") - F.col("_back.at"), F.col("_ahead.at") - F.col("_back.at"))
+    line = lambda v: F.coalesce(F.col(f"_back.{v}") + (F.col(f"_ahead.{v}") - F.col(f"_back.{v}")) * share, F.col(f"_back.{v}"), F.col(f"_ahead.{v}")).alias(v)
+    return x.select("track", "i", "t", *map(line, values))
 
 
-def moving_average(frames: DataFrame, value: str, size: int, out: str) -> DataFrame:
-    """Uniform filter over contiguous ``frame`` numbers from 0: the window [-size//2, size - size//2 - 1], mirrored at the edges."""
+def moving_average(frames: DataFrame, value: str | list[str], size: int, out: str | list[str]) -> DataFrame:
+    """Uniform filter over contiguous ``frame`` numbers from 0: the window [-size//2, size - size//2 - 1], mirrored at the edges.
+
+    Several values of one size share the mirrored rows and the window.
+    """
+    pairs = [(value, out)] if isinstance(value, str) else list(zip(value, out, strict=True))
     n = F.count("*").over(Window.partitionBy("track"))
     before, after = size // 2, size - size // 2 - 1
     turns = F.ceil(F.lit(size) / F.col("_n"))
     places = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(F.col("frame") + 2 * F.col("_n") * k, 2 * F.col("_n") * k - 1 - F.col("frame"))))
     padded = frames.withColumn("_n", n).withColumn("_p", F.explode(F.filter(places, lambda p: (p >= -before) & (p < F.col("_n") + after))))
     w = Window.partitionBy("track").orderBy("_p").rowsBetween(-before, after)
-    return padded.withColumn(out, F.avg(value).over(w)).where("_p = frame").drop("_n", "_p")
+    return padded.withColumns({o: F.avg(v).over(w) for v, o in pairs}).where("_p = frame").drop("_n", "_p")
 
 
 def max_normalised(df: DataFrame, value: str) -> DataFrame:
@@ -114,6 +126,22 @@ def disruption_of(frames: DataFrame, value: str, size: int = 20) -> DataFrame:
     return out.withColumn(value, F.greatest(F.lit(0.0), F.col(value) - F.col("_m"))).drop("_m")
 
 
+def spectral_disruption(frames: DataFrame, value: str, size: int = 20) -> DataFrame:
+    """``value`` normalised by the track's largest, then its rise above its moving average."""
+    return disruption_of(max_normalised(frames, value), value, size)
+
+
+def energy_disruption(frames: DataFrame, value: str, out: str, size: int = 20) -> DataFrame:
+    """Steps of ``value`` to the next frame (0 at the last) above their moving average, normalised by the largest."""
+    step = F.coalesce(F.abs(F.lead(value).over(by_track("frame")) - F.col(value)), F.lit(0.0))
+    return max_normalised(disruption_of(frames.withColumn(out, step), out, size), out)
+
+
+def breath(frames: DataFrame, value: str, out: str = "breath", size: int = 40) -> DataFrame:
+    """Gradient of the smoothed ``value``, normalised by its largest size."""
+    return max_normalised(gradient(moving_average(frames, value, size, "_smooth"), "_smooth", out), out).drop("_smooth")
+
+
 def decibels(frames: DataFrame, value: str, out: str = "db") -> DataFrame:
     """20 log10 against the track's largest, not below -80."""
     top = F.max(value).over(Window.partitionBy("track"))
@@ -150,10 +178,10 @@ def clusters(events: DataFrame, gap: float = 2.0) -> DataFrame:
 def beat_disruption(beats: DataFrame, points: DataFrame, hop: float = 0.5, lookback: float = 5.0, absence: float = 1.5) -> DataFrame:
     """How far the next beat misses the time that the recent ones announce, 0 to 1."""
     spans = in_windows(intervals(beats), lookback, 0.0, hop, F.col("t0"), F.col("t")).groupBy("track", "i").agg(F.avg("d").alias("e"))
-    order = beats.withColumn("k", F.row_number().over(by_track("t")))
-    size = beats.groupBy("track").agg(F.count("*").alias("total"))
-    x = asof(points, order, "k", strict=True).select("track", "i", "t", F.col("_at").alias("prev"), F.coalesce("k", F.lit(0)).alias("before"))
-    x = x.join(asof(points, order, "k", forward=True).select("track", "i", F.col("_at").alias("next")), ["track", "i"]).join(spans, ["track", "i"], "left").join(size, "track")
+    order = beats.select("track", "t", F.row_number().over(by_track("t")).alias("k"), F.count("*").over(Window.partitionBy("track")).alias("total"))
+    near = neighbours(points, order, ["k", "total"], strict=True)
+    x = near.select("track", "i", "t", F.col("_back.at").alias("prev"), F.coalesce("_back.k", F.lit(0)).alias("before"), F.col("_ahead.at").alias("next"), F.coalesce("_back.total", "_ahead.total").alias("total"))
+    x = x.where("total IS NOT NULL").join(spans, ["track", "i"], "left")
     gap = F.col("t") - F.col("prev")
     missing = F.when((F.col("before") > 3) & (gap > absence), F.least(F.lit(1.0), gap / lookback)).otherwise(0.0)
     error = F.least(F.lit(1.0), F.abs(F.col("next") - F.col("prev") - F.col("e")) / F.col("e"))

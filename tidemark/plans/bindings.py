@@ -2,7 +2,7 @@
 
 events: a track per event_type, a beat per row, one second of music standing for an hour; frames are hours.
 embeddings: a track per label, a frame per vector in order of vec_id; chroma folds |e_j| of j < 60 by j mod 12, the
-spectrum is |e_j|. lineitem by supplier: a catalog of tracks and metrics. conversations: captions.
+spectrum is |e_j|. lineitem by supplier: a catalog of tracks and metrics. conversations: captions. listeners() and players() give whole feature tables, as the audio kernels would.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..session import table
 
 
+FRAME = 0.4712389  # seconds of a listener's frame, so that frames and grid points don't coincide
+
+
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("track"), (micros / 3.6e9).alias("t"), "value")
@@ -29,10 +32,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(x, ["track", "frame"], "left").select("track", "frame", F.col("frame").cast("double").alias("t"), F.coalesce("rms", F.lit(0.0)).alias("rms"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(track, frame, t, spec): absolute vectors of each label in order of vec_id."""
+def vectors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(track, frame, t, spec, more columns): absolute vectors of each label in order of vec_id."""
     w = Window.partitionBy("label").orderBy("vec_id")
-    x = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("frame"), F.transform("embedding", lambda e: F.abs(e).cast("double")).alias("spec"))
+    x = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("frame"), F.transform("embedding", lambda e: F.abs(e).cast("double")).alias("spec"), *more)
     return x.withColumn("t", F.col("frame") * 0.25)
 
 
@@ -57,3 +60,47 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("track"), F.col("turn").alias("seg"), (F.col("turn") * 4.0).alias("start"), "text", "role")
+
+
+def _in_frames(rows: DataFrame, length: float, **sums) -> DataFrame:
+    """(track, frame, ...) aggregates of (track, t, value) rows for every frame from 0 to a track's last."""
+    x = rows.groupBy("track", F.floor(F.col("t") / length).alias("frame")).agg(*[c.alias(n) for n, c in sums.items()])
+    every = x.groupBy("track").agg(F.max("frame").alias("m")).select("track", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("frame"))
+    return every.join(x, ["track", "frame"], "left")
+
+
+def _arrays(frames: DataFrame, **columns) -> DataFrame:
+    """(track, one array a column in order of frame)."""
+    rows = F.sort_array(F.collect_list(F.struct("frame", *[c.alias(n) for n, c in columns.items()])))
+    return frames.groupBy("track").agg(rows.alias("_r")).select("track", *[F.col(f"_r.{n}").alias(n) for n in columns])
+
+
+def listeners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a track per user: a beat per event, one second for six hours; kept, as the analyses explode them."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("track"), (micros / 2.16e10).alias("t"), "value")
+    root = lambda c: F.coalesce(F.sqrt(F.avg(c * c)), F.lit(0.0)) / 997
+    v = F.col("value")
+    classes = [F.coalesce(F.sum(F.when(F.floor(v) % 12 == k, v)), F.lit(0.0)).alias(str(k)) for k in range(12)]
+    frames = _in_frames(rows, FRAME, rms=root(v), h=root(F.when(v < 100, v)), p=root(F.when(v >= 100, v)), m=F.avg("value"), c=F.array(*classes))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    f0 = F.when(F.col("m") >= 20, 55 + 2 * F.col("m"))
+    none = F.array(*[F.lit(0.0)] * 12)
+    x = _arrays(frames, rms=zero(F.col("rms")), h_rms=zero(F.col("h")), p_rms=zero(F.col("p")), chroma=F.coalesce("c", none), f0=f0, voiced=F.least(F.lit(1.0), zero(F.col("m")) / 97.31415))
+    fine = _arrays(_in_frames(rows, FRAME / 2, rms=root(v)), fine_rms=zero(F.col("rms")))
+    own = rows.groupBy("track").agg(F.ceil(F.max("t")).cast("double").alias("duration"), F.sort_array(F.collect_list("t")).alias("beats"), F.sort_array(F.collect_list(F.when(v > 50, F.col("t")))).alias("onsets"), (F.avg("value") * 10).alias("centroid"), (F.avg("value") / 1000).alias("zcr"))
+    third = F.col("duration") / 3
+    return own.join(x, "track").join(fine, "track").withColumns({
+        "tempo": 60.0 * F.size("beats") / F.col("duration"), "bounds": F.array(F.lit(0.0), third, 2 * third, F.col("duration")),
+        "flux": F.zip_with(F.slice("rms", 2, F.size("rms")), F.slice("rms", 1, F.greatest(F.size("rms") - 1, F.lit(0))), lambda b, a: F.abs(b - a)),
+    }).persist()
+
+
+def players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a track per label: chroma, pitch and peaks of a vector per frame, a quarter of a second each."""
+    f0 = F.when(F.col("vec_id") % 7 > 0, (80 + F.col("vec_id") % 40 * 5).cast("double"))
+    x = vectors(spark, sf_dir, "vec_id").withColumn("f0", f0)
+    fold = F.array(*[sum((F.col("spec")[p + 12 * k] for k in range(1, 5)), F.col("spec")[p]) for p in range(12)])
+    peaks = F.transform("spec", lambda m, j: F.struct(((j + 1) * 40.0).alias("freq"), m.alias("mag")))
+    out = _arrays(x.withColumn("track", F.concat(F.lit("l"), F.col("track").cast("string"))), chroma=fold, overtones=F.struct("frame", "f0", peaks.alias("peaks")))
+    return out.withColumn("duration", F.size("chroma") * 0.25).persist()

@@ -25,12 +25,13 @@ from ..operators.overtones import match_harmonics
 
 SECOND = G.HOP / G.SR  # seconds of a frame
 STEP = 0.5
+#: Columns of features(): one row per track.
 FEATURES = """track string, duration double, tempo double, beats array<double>, onsets array<double>, rms array<double>, fine_rms array<double>,
 flux array<double>, h_rms array<double>, p_rms array<double>, centroid double, zcr double, chroma array<array<double>>,
 f0 array<double>, voiced array<double>, overtones array<struct<frame: bigint, f0: double, peaks: array<struct<freq: double, mag: double>>>>, bounds array<double>"""
 
 
-def _features(track: str, y: np.ndarray) -> dict:
+def _features(track: str, y: np.ndarray, use_harmonic: bool = True) -> dict:
     s = G.stft(y)
     h, p = G.hpss(s)
     scale = np.sqrt(2.0) / G.FRAME  # from a Hann frame's spectrum back to its energy, to first order
@@ -38,7 +39,7 @@ def _features(track: str, y: np.ndarray) -> dict:
     freq = G.frequencies()
     strength = G.onset_strength(y)
     tempo, beats = G.beats(strength)
-    f0, voiced = G.pitch(y, 60.0, 2000.0)
+    f0, voiced = G.pitch(G.harmonic_part(y) if use_harmonic else y, 60.0, 2000.0)
     low, _ = G.pitch(y, 50.0, 500.0)
     frames = np.arange(0, len(low), int(STEP / SECOND))
     wide = G.stft(y, 8192, G.HOP, frames[frames < len(s)])
@@ -52,20 +53,23 @@ def _features(track: str, y: np.ndarray) -> dict:
         "track": track, "duration": seconds, "tempo": tempo, "beats": beats.tolist(), "onsets": G.onsets(strength).tolist(),
         "rms": G.rms(y).tolist(), "fine_rms": G.rms(y, 1024, 256).tolist(), "flux": np.sqrt((np.diff(s, axis=0) ** 2).mean(1)).tolist(),
         "h_rms": band(h), "p_rms": band(p), "centroid": float(G.centroid(s, freq).mean()), "zcr": float(G.zero_crossings(y).mean()),
-        "chroma": G.chroma(s, freq).tolist(), "f0": [float(x) if np.isfinite(x) else None for x in f0], "voiced": voiced.tolist(), "overtones": over, "bounds": G.segments(s, seconds),
+        "chroma": G.chroma(y).tolist(), "f0": [float(x) if np.isfinite(x) else None for x in f0], "voiced": voiced.tolist(), "overtones": over, "bounds": G.segments(s, seconds),
     }
 
 
-def features(signals: DataFrame) -> DataFrame:
-    """One row per track of (track, y) signals; run split_null() before, so that silent tracks stop there."""
+def features(signals: DataFrame, use_harmonic: bool = True) -> DataFrame:
+    """One row per track of (track, y) signals; run split_null() before, so that silent tracks stop there.
+
+    ``use_harmonic``: the melody's pitch is taken from the harmonic part of the signal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                track, y = batch.column(0)[i].as_py(), np.asarray(batch.column(1)[i].as_py(), dtype=np.float64)
-                if not len(y):
+                track, samples = batch.column(0)[i].as_py(), batch.column(1)[i].values
+                if samples is None or not len(samples):
                     raise ValueError(f"track {track!r} has no duration")
-                yield pa.RecordBatch.from_pylist([_features(track, y)], schema=schema)
+                yield pa.RecordBatch.from_pylist([_features(track, samples.to_numpy(zero_copy_only=False), use_harmonic)], schema=schema)
 
     kinds = StructType.fromDDL(FEATURES)
     schema = to_arrow_schema(kinds)
@@ -87,8 +91,19 @@ def _join(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b.drop("t"), ["track", "i"]), frames)
 
 
-def report(f: DataFrame) -> DataFrame:
-    """Track features and their labels, one row per track."""
+def segment_energies(f: DataFrame, second: float = SECOND) -> DataFrame:
+    """(track, segments): structural segments with the mean and largest energy of the frames in [start, end); empty ones are left out."""
+    marks = f.select("track", F.posexplode("bounds").alias("k", "t")).select("track", "t", "k", F.lead("t").over(Window.partitionBy("track").orderBy("k")).alias("end"))
+    marks = marks.where("end IS NOT NULL").withColumn("span", F.struct("k", F.col("t").alias("start"), "end"))
+    frames = _series(f, "rms", "rms", second).select("track", F.col("frame").alias("i"), "t", "rms")
+    inside = T.asof(frames, marks, "span").where("span IS NOT NULL AND t < span.end").join(frames.drop("t"), ["track", "i"])
+    each = inside.groupBy("track", "span").agg(F.round(F.avg("rms"), 6).alias("mean_energy"), F.round(F.max("rms"), 6).alias("peak_energy"))
+    row = F.struct("span.k", F.round("span.start", 2).alias("start"), F.round("span.end", 2).alias("end"), "mean_energy", "peak_energy")
+    return each.groupBy("track").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r.dropFields("k")).alias("segments"))
+
+
+def report(f: DataFrame, second: float = SECOND) -> DataFrame:
+    """Track features and their labels, one row per track; ``second`` is a frame's length."""
     beats = f.select("track", F.explode("beats").alias("t"))
     arc = _series(f, "rms", "rms").withColumn("_n", F.floor(F.count("*").over(Window.partitionBy("track")) / 10))
     arc = arc.withColumn("segment", F.when(F.col("_n") > 0, F.floor(F.col("frame") / F.greatest("_n", F.lit(1)))).otherwise(0)).where("segment < 10")
@@ -98,41 +113,37 @@ def report(f: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, S.NOTES))
     top = top.select("track", F.transform(F.slice(F.reverse("_c"), 1, 3), lambda c: F.element_at(names, 1 - c.k)).alias("dominant_chroma"))
     mean = lambda c: F.try_divide(H.total(F.col(c)), F.size(c).cast("double"))
-    x = f.join(T.regularity(beats), "track", "left").join(arc, "track", "left").join(top, "track", "left")
+    x = f.join(T.regularity(beats), "track", "left").join(arc, "track", "left").join(top, "track", "left").join(segment_energies(f, second), "track", "left")
     positive = F.filter("rms", lambda v: v > 0)
     x = x.withColumns({
         "beat_regularity": F.coalesce("beat_regularity", F.lit(0.0)), "harmonic_energy": mean("h_rms"), "percussive_energy": mean("p_rms"),
         "dynamic_range_ratio": F.coalesce(F.try_divide(F.array_max("rms"), F.array_min(positive)), F.lit(0.0)), "onsets_per_second": F.size("onsets") / F.col("duration"),
     }).withColumn("percussion_ratio", S.percussion_ratio(F.col("harmonic_energy"), F.col("percussive_energy")))
-    bounds = F.transform(F.slice("bounds", 2, F.greatest(F.size("bounds") - 1, F.lit(0))), lambda b, i: F.struct(F.col("bounds")[i].alias("start"), b.alias("end")))
     return x.select(
         "track", F.col("duration").alias("duration_seconds"), F.round("tempo", 1).alias("tempo_bpm"), F.size("beats").cast("long").alias("beat_count"), F.round("beat_regularity", 4).alias("beat_regularity"),
         F.round("percussion_ratio", 4).alias("percussion_ratio"), "harmonic_energy", "percussive_energy", F.round("centroid", 1).alias("spectral_centroid_mean_hz"), F.size("onsets").cast("long").alias("onset_count"),
-        F.round("onsets_per_second", 3).alias("onsets_per_second"), F.round("zcr", 4).alias("mean_zcr"), F.round("dynamic_range_ratio", 2).alias("dynamic_range_ratio"), "energy_arc", "dominant_chroma", bounds.alias("segments"),
+        F.round("onsets_per_second", 3).alias("onsets_per_second"), F.round("zcr", 4).alias("mean_zcr"), F.round("dynamic_range_ratio", 2).alias("dynamic_range_ratio"), "energy_arc", "dominant_chroma", "segments",
         S.rhythm_label(F.col("beat_regularity")).alias("rhythm"), S.character_label(F.col("percussion_ratio")).alias("character"), S.brightness_label(F.col("centroid")).alias("brightness"),
         S.dynamics_label(F.col("dynamic_range_ratio")).alias("dynamics"), S.texture_label(F.col("onsets_per_second")).alias("texture"),
     )
 
 
-def perception(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def perception(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stream, events, summary) of every track."""
     grid = _grid(f)
     beats = f.select("track", F.explode("beats").alias("t"))
-    rms = _series(f, "rms", "rms")
-    spectral = T.disruption_of(T.max_normalised(_series(f, "flux", "flux"), "flux"), "flux")
-    step = rms.withColumn("step", F.coalesce(F.abs(F.lead("rms").over(T.by_track("frame")) - F.col("rms")), F.lit(0.0)))
-    energy = T.max_normalised(T.disruption_of(step, "step"), "step")
-    breath = T.max_normalised(T.gradient(T.moving_average(rms, "rms", 40, "smooth"), "smooth", "breath"), "breath")
-    h = T.moving_average(_series(f, "h_rms", "h"), "h", 20, "h_energy")
-    p = T.moving_average(_series(f, "p_rms", "p"), "p", 20, "p_energy")
-    quiet = T.silences(T.decibels(_series(f, "fine_rms", "rms", 256 / G.SR), "rms"))
+    spectral = T.spectral_disruption(_series(f, "flux", "flux", second), "flux")
+    curves = f.select("track", F.posexplode(F.arrays_zip("rms", "h_rms", "p_rms")).alias("frame", "e")).select("track", F.col("frame").cast("long").alias("frame"), (F.col("frame") * second).alias("t"), "e.*")
+    curves = T.breath(T.energy_disruption(curves, "rms", "step"), "rms")
+    curves = T.moving_average(curves, ["h_rms", "p_rms"], 20, ["h_energy", "p_energy"]).withColumnRenamed("rms", "energy")
+    quiet = T.silences(T.decibels(_series(f, "fine_rms", "rms", second * 256 / G.HOP), "rms"))
     every = [
-        T.momentum(beats, grid).drop("n"), T.beat_disruption(beats, grid).withColumnRenamed("disruption", "_b"), T.interpolate(grid, spectral, "flux"), T.interpolate(grid, energy, "step"),
-        T.interpolate(grid, rms.withColumnRenamed("rms", "energy"), "energy"), T.interpolate(grid, breath, "breath"), T.interpolate(grid, h, "h_energy"), T.interpolate(grid, p, "p_energy"), T.in_silence(grid, quiet),
+        T.momentum(beats, grid).drop("n"), T.beat_disruption(beats, grid).withColumnRenamed("disruption", "_b"), T.interpolate(grid, spectral, "flux"),
+        T.interpolate(grid, curves, ["step", "energy", "breath", "h_energy", "p_energy"]), T.in_silence(grid, quiet),
     ]
     # tracks with no beats have no row in a beat series; they keep the grid with zeros
     joined = reduce(lambda a, b: a.join(b.drop("t"), ["track", "i"], "left"), every, grid)
-    total = 0.4 * F.coalesce("_b", F.lit(0.0)) + 0.35 * F.coalesce("flux", F.lit(0.0)) + 0.25 * F.coalesce("step", F.lit(0.0))
+    total = E.total_disruption(F.col("_b"), F.col("flux"), F.col("step"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     x = joined.withColumns({"disruption": total, "momentum": zero("momentum"), "breath": zero("breath"), "energy": zero("energy"), "h_energy": zero("h_energy"), "p_energy": zero("p_energy")})
     x = x.withColumn("hp_balance", S.hp_balance(F.col("h_energy"), F.col("p_energy"), 0.005))
@@ -149,7 +160,7 @@ def perception(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         *pair("momentum", "momentum"), *pair("lock", "pattern_lock"), F.array(F.min("momentum"), F.max("momentum")).alias("momentum_range"),
         share(F.col("breath") > 0.05).alias("breath_positive_pct"), share(F.col("breath") < -0.05).alias("breath_negative_pct"), share(F.abs("breath") <= 0.05).alias("breath_sustain_pct"),
     )
-    silence = quiet.groupBy("track").agg(F.round(F.sum("duration"), 1).alias("total_silence_sec"))
+    silence = quiet.groupBy("track").agg(F.round(F.sum(F.col("duration").cast("decimal(18,2)")), 1).cast("double").alias("total_silence_sec"))
     counts = events.groupBy("track").agg(F.create_map(*[y for k in E.TYPES for y in (F.lit(k), F.count_if(F.col("type") == k))]).alias("pattern_break_counts"), F.count("*").alias("pattern_break_count"))
     none = F.create_map(*[y for k in E.TYPES for y in (F.lit(k), F.lit(0).cast("long"))])
     s = f.select("track", "duration").join(agg, "track", "left").join(silence, "track", "left").join(counts, "track", "left")
@@ -158,41 +169,39 @@ def perception(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return stream, events, summary
 
 
-def _tonal_centres(f: DataFrame, size: int = 50) -> DataFrame:
+def tonal_centres(f: DataFrame, size: int = 50, second: float = SECOND) -> DataFrame:
+    """(track, t, centre): hopping windows of ``size`` frames by half, their mean chroma's key, its stability and major-minor balance."""
     hop = size // 2
     x = f.select("track", F.size("chroma").alias("_n"), "chroma", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("chroma") - size) / hop).cast("int")))).alias("k"))
     part = F.slice("chroma", F.col("k") * hop + 1, size)
-    mean = F.array(*[H.total(F.transform(part, lambda c, p=p: c[p])) / F.size(part) for p in range(12)])
+    of = lambda p: F.transform(part, lambda c: c[p])
+    mean = F.array(*[H.total(of(p)) / F.size(part) for p in range(12)])
     x = x.select("track", "k", "_n", mean.alias("chroma")).withColumn("key", H.detect_key(F.col("chroma"))).withColumn("_s", H.total(F.col("chroma")))
     at = lambda s: F.col("chroma")[F.pmod(F.col("key.root") + s, F.lit(12))] / F.col("_s")
     known = F.col("key.root") >= 0
     return x.select(
-        "track", (F.least(F.col("k") * hop + hop, F.col("_n") - 1) * SECOND).alias("t"),
+        "track", (F.least(F.col("k") * hop + hop, F.col("_n") - 1) * second).alias("t"),
         F.struct(F.col("key.key").alias("tonal_center"), F.col("key.confidence").alias("key_confidence"), F.when(known, at(0)).otherwise(0.0).alias("tonal_stability"), F.when(known, at(4) - at(3)).otherwise(0.0).alias("major_minor")).alias("centre"),
     )
 
 
-def harmony(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+def harmony(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFrame]:
     """(stream, summary): consonances, tension, chroma flux, tonal centre, key."""
     grid = _grid(f)
-    raw = _series(f, "chroma", "chroma")
+    raw = _series(f, "chroma", "chroma", second)
     w = Window.partitionBy("track").orderBy("frame")
-    smooth = raw
-    for p in range(12):
-        smooth = T.moving_average(smooth.withColumn("_x", F.col("chroma")[p]), "_x", 8, f"_c{p}").drop("_x")
-    smooth = smooth.withColumn("smooth", F.array(*[f"_c{p}" for p in range(12)])).select("track", "frame", "t", "chroma", "smooth")
-    x = smooth.select("track", "frame", "t", H.temperament(F.col("smooth")).alias("temperament_alignment"), H.series(F.col("smooth")).alias("consonance_series"), F.coalesce(H.cosine_distance(F.col("smooth"), F.lead("smooth").over(w)), F.lit(0.0)).alias("_flux"))
-    z = raw.withColumn("z", H.tonnetz(F.col("chroma")))
-    for j in range(6):
-        z = T.moving_average(z.withColumn("_x", F.col("z")[j]), "_x", 8, f"_z{j}").drop("_x")
-    z = z.withColumn("z", F.array(*[f"_z{j}" for j in range(6)])).select("track", "frame", "t", "z")
-    z = z.withColumn("_v", F.coalesce(H.norm(F.zip_with(F.lead("z").over(w), "z", lambda a, b: a - b)), F.lit(0.0)))
+    named = {f"_c{p}": F.col("chroma")[p] for p in range(12)} | {f"_z{j}": F.get(F.col("_t"), F.lit(j)) for j in range(6)}
+    wide = raw.withColumn("_t", H.tonnetz(F.col("chroma"))).withColumns(named).drop("chroma", "_t")
+    wide = T.moving_average(wide, list(named), 8, [f"s{n}" for n in named])
+    both = wide.select("track", "frame", "t", F.array(*[f"s_c{p}" for p in range(12)]).alias("smooth"), F.array(*[f"s_z{j}" for j in range(6)]).alias("z"))
+    x = both.select("track", "frame", "t", H.temperament(F.col("smooth")).alias("temperament_alignment"), H.series(F.col("smooth")).alias("consonance_series"), F.coalesce(H.cosine_distance(F.col("smooth"), F.lead("smooth").over(w)), F.lit(0.0)).alias("_flux"))
+    z = both.withColumn("_v", F.coalesce(H.norm(F.zip_with(F.lead("z").over(w), "z", lambda a, b: a - b)), F.lit(0.0)))
     tension = T.max_normalised(T.moving_average(z.select("track", "frame", "t", "_v"), "_v", 10, "tension"), "tension").select("track", "frame", "t", "tension")
     flux = T.max_normalised(T.window_average(x.select("track", "t", "_flux"), grid, "_flux", 8.0, STEP), "_flux").withColumnRenamed("_flux", "chroma_flux")
-    centres = _tonal_centres(f)
+    centres = tonal_centres(f, second=second)
     first = centres.groupBy("track").agg(F.min_by("centre", "t").alias("_first"))
     centre = T.asof(grid, centres, "centre").join(first, "track", "left").select("track", "i", F.coalesce("centre", "_first").alias("centre"))
-    joined = _join([T.interpolate(grid, x, "temperament_alignment"), T.interpolate(grid, x, "consonance_series"), T.interpolate(grid, tension, "tension"), flux]).join(centre, ["track", "i"], "left")
+    joined = _join([T.interpolate(grid, x, ["temperament_alignment", "consonance_series"]), T.interpolate(grid, tension, "tension"), flux]).join(centre, ["track", "i"], "left")
     r3 = lambda c: F.round(c, 3)
     stream = joined.select("track", "i", F.round("t", 1).alias("t"), *[r3(c).alias(c) for c in ("temperament_alignment", "consonance_series", "tension", "chroma_flux")], "centre.tonal_center", r3("centre.tonal_stability").alias("tonal_stability"), r3("centre.key_confidence").alias("key_confidence"), r3("centre.major_minor").alias("major_minor"))
     key = raw.groupBy("track").agg(F.array(*[F.avg(F.col("chroma")[p]) for p in range(12)]).alias("c")).select("track", H.detect_key(F.col("c")).alias("k"))
@@ -201,13 +210,13 @@ def harmony(f: DataFrame) -> tuple[DataFrame, DataFrame]:
     fl = flux.groupBy("track").agg(F.avg("chroma_flux").alias("mean_chroma_flux"))
     ce = centres.groupBy("track").agg(F.avg("centre.tonal_stability").alias("mean_tonal_stability"), F.avg("centre.major_minor").alias("mean_major_minor"))
     summary = key.join(own, "track").join(ten, "track", "left").join(fl, "track", "left").join(ce, "track", "left")
-    return stream, summary.select("track", F.concat_ws(" ", "k.key", "k.mode").alias("key"), F.col("k.confidence").alias("key_confidence"), *[F.round(c, 4).alias(c) for c in summary.columns if c.startswith("mean_")])
+    return stream, summary.select("track", F.col("k.key").alias("detected_key"), F.col("k.mode").alias("detected_mode"), F.col("k.confidence").alias("key_confidence"), *[F.round(c, 4).alias(c) for c in summary.columns if c.startswith("mean_")])
 
 
-def melody(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+def melody(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFrame]:
     """(stream, summary): pitch, contour direction, range, presence."""
     grid = _grid(f)
-    p = f.select("track", F.posexplode(F.arrays_zip("f0", "voiced")).alias("frame", "p")).select("track", "frame", (F.col("frame") * SECOND).alias("t"), "p.f0", F.col("p.voiced").alias("prob"))
+    p = f.select("track", F.posexplode(F.arrays_zip("f0", "voiced")).alias("frame", "p")).select("track", "frame", (F.col("frame") * second).alias("t"), "p.f0", F.col("p.voiced").alias("prob"))
     p = p.withColumn("midi", S.hz_to_midi(F.col("f0")))
     sung = p.where("midi IS NOT NULL")
     two = F.count("*") >= 2
@@ -215,7 +224,7 @@ def melody(f: DataFrame) -> tuple[DataFrame, DataFrame]:
     span = T.in_windows(sung, 2.0, 2.0, STEP).groupBy("track", "i").agg(F.when(two, F.max("midi") - F.min("midi")).otherwise(0.0).alias("pitch_range_st"), F.when(two, F.median("midi")).alias("pitch_center_midi"))
     here = T.window_average(p, grid, "prob", 2.0, STEP).withColumnRenamed("prob", "vocal_presence")
     near = T.asof(grid, p, "f0").drop("t", "_at")
-    prob = T.interpolate(grid, p, "prob").drop("t")
+    prob = T.interpolate(grid, p.select("track", "t", "prob"), "prob").drop("t")
     x = here.join(way, ["track", "i"], "left").join(span, ["track", "i"], "left").join(near, ["track", "i"], "left").join(prob, ["track", "i"], "left")
     sings = F.col("prob") > 0.5
     direction = F.coalesce("direction", F.lit(0.0))
@@ -224,14 +233,20 @@ def melody(f: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.round(F.coalesce("pitch_range_st", F.lit(0.0)), 2).alias("pitch_range_st"), F.when(sings, F.round("pitch_center_midi", 2)).alias("pitch_center_midi"), F.round("vocal_presence", 3).alias("vocal_presence"),
     )
     loud = F.when(F.col("vocal_presence") > 0.3, direction)
-    share = lambda c: F.coalesce(100 * F.avg(c.cast("int")), F.lit(0.0))
-    shape = x.groupBy("track").agg(F.avg("vocal_presence").alias("mean_vocal_presence"), F.avg(direction).alias("mean_direction"), share(loud > 0.5).alias("contour_ascending_pct"), share(loud < -0.5).alias("contour_descending_pct"), F.count(loud).alias("_n"))
-    shape = shape.withColumn("contour_holding_pct", F.when(F.col("_n") > 0, 100 - F.col("contour_ascending_pct") - F.col("contour_descending_pct")).otherwise(0.0)).drop("_n")
-    whole = sung.groupBy("track").agg(F.round(F.max("midi") - F.min("midi"), 2).alias("overall_range_semitones"), F.round(F.median("f0"), 2).alias("median_hz"), S.hz_to_note(F.min("f0")).alias("lowest_note"), S.hz_to_note(F.max("f0")).alias("highest_note"))
-    return stream, shape.join(whole, "track", "left")
+    share = lambda c: F.coalesce(F.avg(F.when(loud.isNotNull(), c.cast("int"))) * 100, F.lit(0.0))
+    shape = x.groupBy("track").agg(F.avg("vocal_presence").alias("_p"), F.avg(direction).alias("_d"), share(loud > 0.5).alias("_a"), share(loud < -0.5).alias("_f"), F.count(loud).alias("_n"), F.count("*").alias("stream_length"))
+    whole = sung.groupBy("track").agg((F.max("midi") - F.min("midi")).alias("_r"), F.median("f0").alias("_m"), F.min("f0").alias("_lo"), F.max("f0").alias("_hi"))
+    y = f.select("track", "duration").join(shape, "track").join(whole, "track", "left")
+    held = F.when(F.col("_n") > 0, 100 - F.col("_a") - F.col("_f")).otherwise(0.0)
+    r1 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 1)
+    return stream, y.select(
+        "track", F.round("duration", 1).alias("duration"), r1(F.col("_r")).alias("overall_range_semitones"), r1(F.col("_m")).alias("overall_center_hz"), S.hz_to_note(F.col("_m")).alias("overall_center_note"),
+        S.hz_to_note(F.col("_lo")).alias("range_low"), S.hz_to_note(F.col("_hi")).alias("range_high"), F.round("_p", 3).alias("mean_vocal_presence"), r1(F.col("_a")).alias("contour_ascending_pct"),
+        r1(F.col("_f")).alias("contour_descending_pct"), r1(held).alias("contour_holding_pct"), F.round("_d", 3).alias("mean_direction"), "stream_length",
+    )
 
 
-def overtones(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+def overtones(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFrame]:
     """(stream, summary): each sampled frame's harmonics with their fit, richness and dominant; per-harmonic profile and histogram."""
     frames = f.select("track", F.explode("overtones").alias("o")).select("track", "o.frame", "o.f0", "o.peaks")
     m = match_harmonics(frames.where("f0 IS NOT NULL AND size(peaks) > 0"))
@@ -245,7 +260,7 @@ def overtones(f: DataFrame) -> tuple[DataFrame, DataFrame]:
     fit = rich * F.greatest(F.lit(0.0), 1 - F.col("inharmonicity") / 50)
     sung = F.col("f0").isNotNull()
     stream = x.select(
-        "track", F.round(F.col("frame") * SECOND, 2).alias("t"), F.round("f0", 2).alias("f0"), "harmonics", F.when(sung, F.round(F.coalesce(fit, F.lit(0.0)), 3)).alias("series_fit"), F.when(sung, F.round(F.coalesce("inharmonicity", F.lit(0.0)), 2)).alias("inharmonicity"),
+        "track", F.round(F.col("frame") * second, 2).alias("t"), F.round("f0", 2).alias("f0"), "harmonics", F.when(sung, F.round(F.coalesce(fit, F.lit(0.0)), 3)).alias("series_fit"), F.when(sung, F.round(F.coalesce("inharmonicity", F.lit(0.0)), 2)).alias("inharmonicity"),
         F.when(sung, F.round(rich, 3)).alias("richness"), F.when(F.col("_over") > 0, F.col("dominant_harmonic")).alias("dominant_harmonic"),
     )
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)

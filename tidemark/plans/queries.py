@@ -85,35 +85,32 @@ def beat_regularity(spark, d):
     return T.regularity(B.hours(spark, d)).withColumn("beat_regularity", r("beat_regularity"))
 
 
-@query(f"""WITH {HOURS}, {GRID}, o AS (SELECT track, t, row_number() OVER (PARTITION BY track ORDER BY t) AS k, t - lag(t) OVER (PARTITION BY track ORDER BY t) AS d, lag(t) OVER (PARTITION BY track ORDER BY t) AS t0 FROM beats),
-e AS (SELECT g.track, g.i, avg(d) AS e FROM grid g JOIN o ON o.track = g.track AND o.t0 >= g.t - 5 AND o.t < g.t GROUP BY g.track, g.i),
-p AS (SELECT g.track, g.i, g.t, max(o.t) AS prev, count(o.t) AS before FROM grid g LEFT JOIN o ON o.track = g.track AND o.t < g.t GROUP BY 1, 2, 3),
-f AS (SELECT g.track, g.i, min(o.t) AS next FROM grid g LEFT JOIN o ON o.track = g.track AND o.t >= g.t GROUP BY 1, 2)
-SELECT track, i, t, round(CASE WHEN (SELECT count(*) FROM beats b WHERE b.track = p.track) <= 2 THEN 0.0
+BEAT = """o AS (SELECT track, t, row_number() OVER (PARTITION BY track ORDER BY t) AS k, t - lag(t) OVER (PARTITION BY track ORDER BY t) AS d, lag(t) OVER (PARTITION BY track ORDER BY t) AS t0 FROM beats),
+bt AS (SELECT track, count(*) AS total FROM beats GROUP BY track),
+e AS (SELECT track, i, avg(d) AS e FROM (SELECT track, d, unnest(range(greatest(0, floor(t / 0.5)::BIGINT + 1), floor((t0 + 5.0) / 0.5)::BIGINT + 1)) AS i FROM o WHERE t0 IS NOT NULL) GROUP BY track, i),
+p AS (SELECT g.track, g.i, g.t, o.t AS prev, coalesce(o.k, 0) AS before FROM grid g ASOF LEFT JOIN o ON o.track = g.track AND g.t > o.t),
+f AS (SELECT g.track, g.i, o.t AS next FROM grid g ASOF LEFT JOIN o ON o.track = g.track AND g.t <= o.t),
+bd AS (SELECT track, i, t, CASE WHEN total <= 2 THEN 0.0
   WHEN e IS NULL THEN CASE WHEN before > 3 AND t - prev > 1.5 THEN least(1.0, (t - prev) / 5.0) ELSE 0.0 END
-  WHEN e > 0 THEN CASE WHEN next < t + 2 * e THEN least(1.0, abs(next - prev - e) / e) ELSE 0.5 END ELSE 0.0 END, 6) + 0.0 AS disruption
-FROM p JOIN f USING (track, i) LEFT JOIN e USING (track, i)""")
+  WHEN e > 0 THEN CASE WHEN next < t + 2 * e THEN least(1.0, abs(next - prev - e) / e) ELSE 0.5 END ELSE 0.0 END AS disruption
+FROM p JOIN f USING (track, i) JOIN bt USING (track) LEFT JOIN e USING (track, i))"""
+
+
+@query(f"WITH {HOURS}, {GRID}, {BEAT} SELECT track, i, t, round(disruption, 6) + 0.0 AS disruption FROM bd")
 def beat_disruption(spark, d):
     b = B.hours(spark, d)
     return T.beat_disruption(b, points(b)).withColumn("disruption", r("disruption"))
 
 
-def _energy_disruption(frames: DataFrame) -> DataFrame:
-    ahead = F.lead("rms").over(T.by_track("frame"))
-    x = frames.withColumn("diff", F.coalesce(F.abs(ahead - F.col("rms")), F.lit(0.0)))
-    return T.max_normalised(T.disruption_of(x, "diff"), "diff").withColumnRenamed("diff", "disruption")
-
-
 @query(f"""WITH {HOURS}, {FRAMES}, df AS (SELECT track, frame, coalesce(abs(lead(rms) OVER (PARTITION BY track ORDER BY frame) - rms), 0.0) AS v FROM frames), {fold('v', 20, 'df', 'sm')},
 x AS (SELECT df.track, df.frame, greatest(0.0, df.v - sm.v) AS v FROM df JOIN sm USING (track, frame))
 SELECT track, frame, round(CASE WHEN max(v) OVER (PARTITION BY track) > 0 THEN v / max(v) OVER (PARTITION BY track) ELSE v END, 6) + 0.0 AS disruption FROM x""")
 def energy_disruption(spark, d):
-    return _energy_disruption(B.frames(spark, d)).select("track", "frame", r("disruption").alias("disruption"))
+    return T.energy_disruption(B.frames(spark, d), "rms", "disruption").select("track", "frame", r("disruption").alias("disruption"))
 
 
-def _breath(frames: DataFrame, size: int = 40) -> DataFrame:
-    x = T.gradient(T.moving_average(frames, "rms", size, "smooth"), "smooth", "breath")
-    return T.max_normalised(x, "breath").select("track", "frame", "t", "breath")
+def _breath(frames: DataFrame) -> DataFrame:
+    return T.breath(frames, "rms").select("track", "frame", "t", "breath")
 
 
 BREATH = f"""{fold('rms', 40, 'frames', 'sm')},
@@ -165,25 +162,6 @@ def active_stats(spark, d):
     return agg.join(total, "track", "left").withColumn("total_silence", r(F.coalesce("_d", F.lit(0.0)), 1)).drop("_d")
 
 
-def _stream(spark, d) -> DataFrame:
-    """momentum, disruption and breath (rounded) on the grid."""
-    b = B.hours(spark, d)
-    g = points(b)
-    m = T.momentum(b, g).select("track", "i", "t", r("momentum").alias("momentum"))
-    dis = T.beat_disruption(b, g).select("track", "i", r("disruption").alias("disruption"))
-    br = T.interpolate(g, _breath(B.frames(spark, d)), "breath").select("track", "i", r("breath").alias("breath"))
-    return m.join(dis, ["track", "i"]).join(br, ["track", "i"])
-
-
-@query(f"""WITH {HOURS}, {GRID}, {MOMENTUM}, m AS (SELECT track, i, t, round(momentum, 6) + 0.0 AS momentum FROM stream),
-x AS (SELECT *, lag(momentum) OVER (PARTITION BY track ORDER BY i) AS pm FROM m)
-SELECT track, i, t, momentum, CASE WHEN momentum > 0.8 AND (pm IS NULL OR pm <= 0.8) THEN 'listener_locked' WHEN momentum < 0.2 AND pm >= 0.2 THEN 'listener_floating' END AS event FROM x""")
-def edge_flags(spark, d):
-    b = B.hours(spark, d)
-    x = T.momentum(b, points(b)).select("track", "i", "t", r("momentum").alias("momentum"), F.lit(0.0).alias("disruption"), F.lit(0.0).alias("breath"))
-    return E.edge_flags(x).drop("disruption", "breath")
-
-
 SHIFTS = """m AS (SELECT track, i, t, round(momentum, 6) + 0.0 AS momentum FROM stream), nx AS (SELECT *, lead(momentum) OVER (PARTITION BY track ORDER BY i) AS nxt FROM m),
 shifts AS (SELECT track, t AS time, CASE WHEN nxt - momentum < -0.05 THEN 'momentum_drop' ELSE 'momentum_gain' END AS type, abs(nxt - momentum) AS intensity, momentum AS "from", nxt AS "to" FROM nx WHERE abs(nxt - momentum) > 0.05)"""
 
@@ -208,11 +186,6 @@ def _union(spark, d) -> DataFrame:
     return _shifts(spark, d).withColumn("intensity", r("intensity")).unionByName(quiet, allowMissingColumns=True)
 
 
-@query(f"""WITH {HOURS}, {GRID}, {MOMENTUM}, {EVENTS} SELECT *, row_number() OVER (PARTITION BY track ORDER BY time, type)::BIGINT AS seq FROM un""")
-def event_union_sorted(spark, d):
-    return _union(spark, d).withColumn("seq", F.row_number().over(T.by_track("time", "type")).cast("long"))
-
-
 @query(f"""WITH {HOURS}, {GRID}, {MOMENTUM}, {EVENTS} SELECT track, count(*) FILTER (WHERE type = 'pattern_break')::BIGINT AS pattern_break, count(*) FILTER (WHERE type = 'momentum_drop')::BIGINT AS momentum_drop,
 count(*) FILTER (WHERE type = 'momentum_gain')::BIGINT AS momentum_gain, count(*) FILTER (WHERE type = 'silence')::BIGINT AS silence FROM un GROUP BY track""")
 def event_counts(spark, d):
@@ -258,25 +231,6 @@ def _plan(spark, d, target=12):
     return E.select_frames(E.best_of_clusters(_clusters(spark, d)), B.durations(b), target)
 
 
-@query()
-def frame_plan(spark, d):
-    return _plan(spark, d)
-
-
-@query()
-def gap_fill(spark, d):
-    none = E.best_of_clusters(_clusters(spark, d)).where("1 = 0")
-    return E.select_frames(none, B.durations(B.hours(spark, d)), 9, 0.0)
-
-
-@query("SELECT DISTINCT event_type AS track, k AS third, 4::BIGINT AS n FROM events, range(3) AS x(k)")
-def third_coverage(spark, d):
-    """Twelve evenly spread times: four in each third."""
-    dur = B.durations(B.hours(spark, d))
-    even = dur.select("track", "duration", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).withColumn("time", (F.col("k") + 0.5) * F.col("duration") / 12)
-    return E.thirds(even).select("track", "third", "n")
-
-
 # ---- energy and report ------------------------------------------------------------------------------------------
 @query(f"""WITH {HOURS}, {FRAMES}, x AS (SELECT *, count(*) OVER (PARTITION BY track) // 10 AS len FROM frames)
 SELECT track, (frame // len)::BIGINT AS segment, round(avg(rms), 6) + 0.0 AS mean_energy, round(max(rms), 6) + 0.0 AS peak_energy FROM x WHERE frame // len < 10 GROUP BY 1, 2""")
@@ -296,12 +250,6 @@ def onset_rate(spark, d):
     return B.hours(spark, d).groupBy("track").agg(r(F.count("*") / F.max("t")).alias("onsets_per_unit"))
 
 
-@query(f"WITH {HOURS} SELECT track, round(sqrt(avg(value * value)), 6) + 0.0 AS rms, sqrt(avg(value * value)) < 1e-6 AS null_signal FROM beats GROUP BY track")
-def null_guard(spark, d):
-    rms = F.sqrt(F.avg(F.col("value") * F.col("value")))
-    return B.hours(spark, d).groupBy("track").agg(r(rms).alias("rms"), (rms < 1e-6).alias("null_signal"))
-
-
 @query("""SELECT p_partkey, CASE WHEN p_size / 50.0 > 0.9 THEN 'metronomic' WHEN p_size / 50.0 > 0.7 THEN 'steady' WHEN p_size / 50.0 > 0.5 THEN 'loose' ELSE 'free' END AS rhythm,
 CASE WHEN p_size / 50.0 > 0.6 THEN 'percussive' WHEN p_size / 50.0 > 0.45 THEN 'balanced' WHEN p_size / 50.0 > 0.35 THEN 'melodic-rhythmic' WHEN p_size / 50.0 > 0.2 THEN 'melodic' ELSE 'harmonic' END AS character,
 CASE WHEN p_retailprice > 3000 THEN 'bright' WHEN p_retailprice > 2000 THEN 'balanced' WHEN p_retailprice > 1200 THEN 'warm' ELSE 'dark' END AS brightness,
@@ -425,43 +373,6 @@ def chroma_flux(spark, d):
     return T.max_normalised(T.window_average(c, points(c), "flux", 8.0, 0.5), "flux").select("track", "i", r("flux").alias("flux"))
 
 
-def _tonal_centres(spark, d, size: int = 10) -> DataFrame:
-    """Hopping windows of ``size`` frames by half: mean chroma, its key, stability and major-minor balance, at the centre frame."""
-    c = B.chroma(spark, d).withColumn("_n", F.count("*").over(Window.partitionBy("track")))
-    hop = size // 2
-    last = F.greatest(F.lit(0), F.floor((F.col("_n") - size) / hop))
-    k = F.sequence(F.greatest(F.lit(0), F.floor((F.col("frame") - size) / hop) + 1), F.least(last, F.floor(F.col("frame") / hop)))
-    ok = F.greatest(F.lit(0), F.floor((F.col("frame") - size) / hop) + 1) <= F.least(last, F.floor(F.col("frame") / hop))
-    x = c.where(ok).withColumn("k", F.explode(k)).groupBy("track", "k").agg(F.array(*[F.avg(F.col("chroma")[p]) for p in range(12)]).alias("chroma"), F.max("_n").alias("_n"))
-    x = x.withColumn("key", H.detect_key(F.col("chroma"))).withColumn("p", F.transform("chroma", lambda e: e / H.total(F.col("chroma"))))
-    at = lambda s: F.col("p")[F.pmod(F.col("key.root") + s, F.lit(12))]
-    t = F.least(F.col("k") * hop + hop, F.col("_n") - 1) * 0.25
-    return x.select("track", F.col("k").cast("long").alias("k"), t.alias("t"), "key.key", "key.mode", at(0).alias("stability"), (at(4) - at(3)).alias("major_minor"))
-
-
-TONAL = f"""{CHROMA}, {KK}, cn AS (SELECT *, count(*) OVER (PARTITION BY track, pc) AS n FROM ch),
-wx AS (SELECT track, pc, e, n, unnest(range(greatest(0, (frame - 10 + 5) // 5), least(greatest(0, (n - 10) // 5), frame // 5) + 1)) AS k FROM cn WHERE frame >= 10 OR TRUE),
-src AS (SELECT track, k AS frame, pc, avg(e) AS e, max(n) AS n FROM wx GROUP BY 1, 2, 3), {KEYS},
-pp AS (SELECT track, frame, pc, n, e / sum(e) OVER (PARTITION BY track, frame) AS p FROM src),
-tc AS (SELECT b.track, b.frame AS k, least(b.frame * 5 + 5, max(pp.n) - 1) * 0.25 AS t, key, mode, sum(p) FILTER (WHERE pc = root) AS stability, sum(p) FILTER (WHERE pc = (root + 4) % 12) - sum(p) FILTER (WHERE pc = (root + 3) % 12) AS mm
-  FROM bk b JOIN names USING (root) JOIN pp ON pp.track = b.track AND pp.frame = b.frame GROUP BY b.track, b.frame, key, mode)"""
-
-
-@query(f"WITH {TONAL} SELECT track, k, t::DOUBLE AS t, key, mode, round(stability, 6) + 0.0 AS stability, round(mm, 6) + 0.0 AS major_minor FROM tc")
-def tonal_center_windows(spark, d):
-    return _tonal_centres(spark, d).withColumn("stability", r("stability")).withColumn("major_minor", r("major_minor"))
-
-
-@query(f"""WITH {TONAL}, g AS (SELECT track, i, i * 0.5::DOUBLE AS t FROM (SELECT track, unnest(range(0, ceil(max(frame) * 0.25 / 0.5)::BIGINT)) AS i FROM ch GROUP BY track)),
-a AS (SELECT g.track, g.i, g.t, tc.key FROM g ASOF LEFT JOIN (SELECT track, t::DOUBLE AS t, key FROM tc) tc ON g.track = tc.track AND g.t >= tc.t)
-SELECT track, i, t, coalesce(key, (SELECT arg_min(key, k) FROM tc WHERE tc.track = a.track)) AS key FROM a""")
-def tonal_asof(spark, d):
-    c = _tonal_centres(spark, d)
-    first = c.groupBy("track").agg(F.min_by("key", "k").alias("_first"))
-    g = points(B.chroma(spark, d))
-    return T.asof(g, c, "key").join(first, "track", "left").select("track", "i", "t", F.coalesce("key", "_first").alias("key"))
-
-
 @query(f"""WITH {CHROMA}, cn AS (SELECT track, frame, pc, e / sum(e) OVER (PARTITION BY track, frame) AS p FROM ch),
 tz AS (SELECT track, frame, j, sum(p * round(CASE WHEN j // 2 = 2 THEN 0.5 ELSE 1.0 END * CASE WHEN j % 2 = 0 THEN sin([7 * pi() / 6, 3 * pi() / 2, 2 * pi() / 3][(j // 2 + 1)::INT] * pc) ELSE cos([7 * pi() / 6, 3 * pi() / 2, 2 * pi() / 3][(j // 2 + 1)::INT] * pc) END, 12)) AS v FROM cn, range(6) AS x(j) GROUP BY 1, 2, 3),
 nx AS (SELECT *, lead(v) OVER (PARTITION BY track, j ORDER BY frame) AS w FROM tz)
@@ -497,12 +408,6 @@ def harmonic_match(spark, d):
     return match(spark, d).withColumn("magnitude", r("magnitude")).withColumn("cents", r("cents"))
 
 
-@query(f"WITH {HARM} SELECT track, frame, count(*)::BIGINT AS found, round(count(*) / 16.0, 6) + 0.0 AS richness, round(avg(cents), 6) + 0.0 AS inharmonicity, round(count(*) / 16.0 * greatest(0.0, 1 - avg(cents) / 50), 6) + 0.0 AS series_fit FROM hk GROUP BY track, frame")
-def series_fit(spark, d):
-    rich = F.count("*") / F.lit(16.0)
-    return match(spark, d).groupBy("track", "frame").agg(F.count("*").alias("found"), r(rich).alias("richness"), r(F.avg("cents")).alias("inharmonicity"), r(rich * F.greatest(F.lit(0.0), 1 - F.avg("cents") / 50)).alias("series_fit"))
-
-
 @query(f"WITH {HARM} SELECT h.track, n, round(100.0 * count(*) / (SELECT count(*) FROM vec v WHERE v.track = h.track), 4) + 0.0 AS presence, round(avg(magnitude), 6) + 0.0 AS mean_magnitude FROM hk h GROUP BY h.track, n")
 def harmonic_profile(spark, d):
     frames = B.vectors(spark, d).groupBy("track").agg(F.count("*").alias("_f"))
@@ -563,12 +468,6 @@ def only_in(spark, d):
     return K.compare(x, 1, 2).where("found <> 'both'").select("metric", "found")
 
 
-@query(f"""WITH {CAT}, {RANK} SELECT track, string_agg(metric || ': ' || rank::VARCHAR || '/' || "of"::VARCHAR, '; ' ORDER BY metric) AS card FROM rk GROUP BY track""")
-def summary_card(spark, d):
-    x = K.rank(K.long_form(B.catalog(spark, d)))
-    return x.groupBy("track").agg(F.array_join(F.sort_array(F.collect_list(F.format_string("%s: %d/%d", "metric", "rank", "of"))), "; ").alias("card"))
-
-
 # ---- text -------------------------------------------------------------------------------------------------------
 @query("""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url || ' (Official) ft. X'), '\\([^)]*\\)', '', 'g'), '\\[[^\\]]*\\]', '', 'g'), '[–—/|]+', ' ', 'g'), '\\bft\\..*$|\\bfeat\\..*$', '', 'g'), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM pages""")
 def slugify(spark, d):
@@ -603,64 +502,11 @@ def jaccard_overlap(spark, d):
     return x.select("conv_id", "turn", r(S.word_overlap(S.align_words(F.col("text")), S.align_words(F.col("_n")))).alias("overlap"))
 
 
-@query("""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '<[^>]*$', '', 'g') AS t FROM pages),
-y AS (SELECT page_id, unnest(string_split(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), chr(10))) AS line FROM x)
-SELECT page_id, count(*)::BIGINT AS lines, sum(length(trim(line)))::BIGINT AS chars FROM y WHERE trim(line) <> '' AND length(trim(line)) < 200 GROUP BY page_id""")
-def html_lines(spark, d):
-    x = table(spark, d, "pages").select("page_id", F.explode(F.split(S.strip_tags(F.col("html")), "\n")).alias("line")).withColumn("line", F.trim("line"))
-    return x.where((F.col("line") != "") & (F.char_length("line") < 200)).groupBy("page_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"))
-
-
 @query("SELECT conv_id, turn, regexp_replace(regexp_replace('Shit, ' || text || ' bitches', '\\bshit\\b', 's***', 'gi'), '\\bbitch(es)?\\b', 'b****', 'gi') AS clean FROM conversations")
 def censor(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", S.censor(F.concat(F.lit("Shit, "), "text", F.lit(" bitches"))).alias("clean"))
 
 
-@query()
-def caption_dedup(spark, d):
-    return C.dedup_captions(B.captions(spark, d))
-
-
-@query()
-def caption_lines(spark, d):
-    return C.caption_lines(B.captions(spark, d))
-
-
-@query()
-def align_lyrics(spark, d):
-    c = B.captions(spark, d)
-    return C.align_lyrics(c.where("role = 'assistant'").select("track", F.col("seg").alias("line"), "text"), c)
-
-
-@query("SELECT * FROM (VALUES ('full', TRUE, TRUE, TRUE, TRUE), ('lyrics', FALSE, TRUE, TRUE, FALSE), ('context', TRUE, TRUE, FALSE, FALSE), ('blind', FALSE, TRUE, FALSE, FALSE)) AS v(mode, background, metrics, lyrics, frames)")
-def mode_matrix(spark, d):
-    from .prompt import modes
-
-    return modes(spark)
-
-
-@query("""WITH t AS (SELECT conv_id, string_agg('[' || (turn * 4 // 60)::VARCHAR || ':' || lpad((turn * 4 % 60)::VARCHAR, 2, '0') || '.00]  ' || text, chr(10) ORDER BY turn) AS lines, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id, '## Track' || chr(10) || chr(10) || 'Title: ' || conv_id::VARCHAR || chr(10) || chr(10) || '## Listener analysis' || chr(10) || chr(10) || 'Turns: ' || n::VARCHAR || chr(10) || chr(10) || '## Lyrics - autocaptions (timestamps accurate; text may contain mishears)' || chr(10) || chr(10) || lines AS prompt FROM t""")
-def prompt_packet(spark, d):
-    from . import prompt as P
-
-    c = B.captions(spark, d).withColumn("ts", S.format_timestamp(F.col("start")))
-    lines = c.groupBy("track").agg(P.caption_section(F.sort_array(F.collect_list(F.struct("seg", "ts", "text")))).alias("lyrics"), F.count("*").alias("n"))
-    x = lines.withColumn("header", P.header(F.lit(None).cast("string"), F.col("track").cast("string"), F.lit(None).cast("string"))).withColumn("metrics", F.concat(F.lit(P.METRICS_HEAD), F.format_string("Turns: %d", "n")))
-    return x.select(F.col("track").alias("conv_id"), P.packet("lyrics", header="header", metrics="metrics", lyrics="lyrics").alias("prompt"))
-
-
-@query(f"""WITH {HOURS}, {GRID}, {MOMENTUM}, {EVENTS} SELECT track, time, type, CASE WHEN type = 'silence' THEN 'silence' ELSE replace(type, '_', ' ') END AS label FROM un""")
-def event_labels(spark, d):
-    text = E.event_label(*[F.col(c) for c in ("type", "intensity", "duration", "depth_db", "from", "to")])
-    return _union(spark, d).select("track", "time", "type", F.regexp_extract(text, "(silence|momentum drop|momentum gain)", 1).alias("label"))
-
-
-@query()
-def frame_groups(spark, d):
-    return E.description_groups(_plan(spark, d))
-
-
 @query(f"""WITH {HOURS}, {GRID}, {MOMENTUM}, m AS (SELECT track, t AS time, round(1 - momentum, 6) AS x FROM stream)
 SELECT track, time, 'pattern_break' AS type, x AS intensity FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY track ORDER BY x DESC, time) <= 5) WHERE x > 0.2""")
 def pattern_breaks(spark, d):
@@ -669,25 +515,6 @@ def pattern_breaks(spark, d):
     return E.pattern_breaks(x)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Artist ' || page_id::VARCHAR ELSE 'uploader' END AS artist, 'Song ' || page_id::VARCHAR AS title FROM pages")
-def artist_title(spark, d):
-    n = F.col("page_id").cast("string")
-    shown = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Artist "), n, F.lit(" — Song "), n, F.lit(" (Official)"))).otherwise(F.concat(F.lit("Song "), n, F.lit(" [HD]")))
-    return table(spark, d, "pages").select("page_id", S.artist_title(shown, F.lit("uploader")).alias("x")).select("page_id", "x.artist", "x.title")
-
-
-@query("SELECT p_partkey, FALSE AS same, len(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 2)) > 0 AS other FROM part")
-def wrong_article(spark, d):
-    x = table(spark, d, "part")
-    return x.select("p_partkey", S.wrong_article(F.col("p_name"), F.col("p_name")).alias("same"), S.wrong_article(F.col("p_name"), F.lit("zz")).alias("other"))
-
-
-@query(f"WITH {CAT} SELECT metric, CASE WHEN abs(b - a) < 0.0005 THEN '  =' WHEN b > a THEN '>' ELSE '<' END AS arrow FROM (SELECT coalesce(x.metric, y.metric) AS metric, x.value AS a, y.value AS b FROM (SELECT * FROM long WHERE track = 1) x JOIN (SELECT * FROM long WHERE track = 2) y ON x.metric = y.metric)")
-def format_delta(spark, d):
-    x = K.compare(K.long_form(B.catalog(spark, d)), 1, 2).where("found = 'both'").withColumn("s", S.format_delta(F.col("a"), F.col("b")))
-    return x.select("metric", F.when(F.col("s") == "  =", F.col("s")).otherwise(F.substring("s", 1, 1)).alias("arrow"))
-
-
 @query(f"WITH {HOURS}, {FRAMES}, {SILENCE}, {GRID} SELECT g.track, g.i, s.depth_db AS depth FROM grid g JOIN sil s ON s.track = g.track AND s.\"start\" <= g.t AND g.t <= s.\"end\"")
 def silence_flags(spark, d):
     b = B.hours(spark, d)

@@ -17,6 +17,7 @@ def build_session(app: str = "tidemark", cpus: str | None = None, partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 

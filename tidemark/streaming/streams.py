@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the windowed and stateful operators.
+"""Structured Streaming forms of the windowed and stateful operators; the windowed ones take batch tables too.
 
 Batch normalises by a whole track's largest value; a stream can't, so silence is judged against a fixed reference.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,10 +18,37 @@ from ..operators.captions import overlap
 
 def sliding(events: DataFrame, time: str, value: str, width: str, hop: str, late: str) -> DataFrame:
     """Mean and count of ``value`` per (track, centred half-open window); the centre is start + width / 2."""
-    w = F.window(time, width, hop)
-    x = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy("track", w).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    centre = F.timestamp_micros(((F.unix_micros("window.start") + F.unix_micros("window.end")) / 2).cast("long"))
-    return x.select("track", centre.alias("centre"), "mean", "n")
+    x = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy("track", F.window(time, width, hop).alias("w")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    return x.select("track", _centre("w").alias("centre"), "mean", "n")
+
+
+def momentum(beats: DataFrame, time: str, width: str, hop: str, late: str, least: int = 3) -> DataFrame:
+    """Momentum of a stream of beats per (track, centred half-open window): what timeseries.momentum gives at the window's centre.
+
+    The beats of a window are gathered and their intervals taken inside it; a window emits once the watermark passes.
+    """
+    seconds = F.unix_micros(time) / 1e6
+    x = beats.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy("track", F.window(time, width, hop).alias("w")).agg(F.sort_array(F.collect_list(seconds)).alias("_t"))
+    gaps = F.zip_with(F.slice("_t", 2, F.size("_t")), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), lambda b, a: b - a)
+    mean = F.aggregate("_d", F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("_d"), F.lit(0))
+    spread = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda s, v: s + (v - F.col("_m")) * (v - F.col("_m"))) / F.nullif(F.size("_d"), F.lit(0)))
+    span = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
+    x = x.withColumn("_d", gaps).withColumn("_m", mean).withColumn("_s", spread)
+    steady = F.greatest(F.lit(0.0), 1 - F.try_divide("_s", "_m")) * F.least(F.lit(1.0), F.size("_t") / F.greatest(F.lit(1.0), F.try_divide(span, F.col("_m"))))
+    value = F.when((F.size("_t") >= least) & (F.col("_m") > 0), steady).otherwise(0.0)
+    return x.select("track", _centre("w").alias("centre"), F.size("_t").cast("long").alias("n"), F.coalesce(value, F.lit(0.0)).alias("momentum"))
+
+
+def direction(pitches: DataFrame, time: str, value: str, width: str, hop: str, late: str, least: int = 3) -> DataFrame:
+    """Slope of ``value`` a second (least squares) per (track, centred half-open window); 0 below ``least`` rows."""
+    x = pitches.where(F.col(value).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    x = x.withColumn("_x", F.unix_micros(time) / 1e6).groupBy("track", F.window(time, width, hop).alias("w"))
+    x = x.agg(F.count("*").alias("n"), F.regr_slope(value, "_x").alias("_s"))
+    return x.select("track", _centre("w").alias("centre"), F.when(F.col("n") >= least, F.coalesce("_s", F.lit(0.0))).otherwise(0.0).alias("direction"))
+
+
+def _centre(w: str):
+    return F.timestamp_micros(((F.unix_micros(f"{w}.start") + F.unix_micros(f"{w}.end")) / 2).cast("long"))
 
 
 def tumbling(events: DataFrame, time: str, value: str, width: str, late: str) -> DataFrame:
@@ -70,22 +97,26 @@ class SilenceRuns(StatefulProcessor):
 
 
 class EdgeFlags(StatefulProcessor):
-    """listener_locked and listener_floating at the sample where momentum crosses, across batches."""
+    """The five flags of events.edge_flags, the first that holds, with the sample before carried across batches."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.prev = handle.getValueState("prev", "m double")
+        self.prev = handle.getValueState("prev", "m double, b double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        prev = self.prev.get()[0] if self.prev.exists() else None
+        m0, b0 = self.prev.get() if self.prev.exists() else (None, None)
         out = []
         for r in _sorted(rows, "t").itertuples():
-            if r.momentum > 0.8 and (prev is None or prev <= 0.8):
-                out.append((key[0], r.t, "listener_locked"))
-            elif r.momentum < 0.2 and prev is not None and prev >= 0.2:
-                out.append((key[0], r.t, "listener_floating"))
-            prev = float(r.momentum)
-        if prev is not None:
-            self.prev.update((prev,))
+            flags = (
+                ("listener_locked", r.momentum > 0.8 and (m0 is None or m0 <= 0.8)),
+                ("listener_floating", r.momentum < 0.2 and m0 is not None and m0 >= 0.2),
+                ("pattern_break", r.disruption > 0.5),
+                ("building", r.breath > 0.3 and b0 is not None and b0 <= 0.3),
+                ("releasing", r.breath < -0.3 and b0 is not None and b0 >= -0.3),
+            )
+            out += [(key[0], r.t, name) for name, holds in flags if holds][:1]
+            m0, b0 = float(r.momentum), float(r.breath)
+        if m0 is not None:
+            self.prev.update((m0, b0))
         yield pd.DataFrame(out, columns=["track", "t", "event"])
 
     def close(self) -> None:
@@ -93,29 +124,68 @@ class EdgeFlags(StatefulProcessor):
 
 
 class RollingCaptions(StatefulProcessor):
-    """The new words of each caption segment past its overlap with what came before."""
+    """The new words of each caption segment past its overlap with what came before.
+
+    State is the last ``reach`` words: an overlap is no longer than a segment, so that is the longest segment in words.
+    """
+
+    reach = 256
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.words = handle.getListState("words", "w string")
+        self.words = handle.getValueState("words", "w array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = [w[0] for w in self.words.get()]
+        seen = list(self.words.get()[0]) if self.words.exists() else []
         out = []
         for r in _sorted(rows, "seg").itertuples():
             new = (r.text or "").split()
             novel = new[overlap(seen, new) :]
             if novel:
                 out.append((key[0], r.seg, " ".join(novel)))
-                self.words.appendList([(w,) for w in novel])
-                seen += novel
+                seen = (seen + novel)[-self.reach :]
+        if seen:
+            self.words.update((seen,))
         yield pd.DataFrame(out, columns=["track", "seg", "text"])
 
     def close(self) -> None:
         pass
 
 
+class _Held:
+    """A value state in memory."""
+
+    value = None
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value) -> None:
+        self.value = value
+
+    def clear(self) -> None:
+        self.value = None
+
+
+class _InMemory:
+    """What a processor needs of its handle, for one key of a batch table."""
+
+    def getValueState(self, name: str, schema: str) -> _Held:
+        return _Held()
+
+
 def _stateful(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return df.groupBy("track").transformWithStateInPandas(processor, schema, "Append", "None")
+    """The processor's rows, its state kept by track: across batches of a stream, within one pass over a batch table."""
+    if df.isStreaming:
+        return df.groupBy("track").transformWithStateInPandas(processor, schema, "Append", "None")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        processor.init(_InMemory())
+        return pd.concat(processor.handleInputRows(key, iter([pdf]), None))
+
+    return df.groupBy("track").applyInPandas(run, schema)
 
 
 def silence_runs(frames: DataFrame, below: float = -40.0, least: float = 0.5) -> DataFrame:
@@ -126,19 +196,29 @@ def silence_runs(frames: DataFrame, below: float = -40.0, least: float = 0.5) ->
 
 
 def edge_flags(stream: DataFrame) -> DataFrame:
+    """From a stream of (track, t, momentum, disruption, breath)."""
     return _stateful(stream, EdgeFlags(), "track string, t double, event string")
 
 
-def rolling_captions(captions: DataFrame) -> DataFrame:
-    return _stateful(captions, RollingCaptions(), "track string, seg long, text string")
+def rolling_captions(captions: DataFrame, reach: int = 256) -> DataFrame:
+    """From a stream of (track, seg, text); ``reach`` is the longest segment in words."""
+    p = RollingCaptions()
+    p.reach = reach
+    return _stateful(captions, p, "track string, seg long, text string")
 
 
 def catalog_sink(rows: DataFrame, path: str, checkpoint: str):
-    """A started query that merges each batch of catalog rows by track; batch n lands in folder v(n), made from v(n-1), so a batch done twice gives the same."""
+    """A started query that merges each batch of catalog rows by track.
+
+    Batch n makes version n from the newest one before it, so a batch done twice gives the same and a lost one shows in
+    the version's number; two versions stay (see catalog.save). A batch rewrites the table: for large catalogs let
+    batches be few, or use a table format with a merge.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        old = None if number == 0 else K.load(spark, f"{path}/v{number - 1}")
-        K.upsert(old, batch.dropDuplicates(["track"])).write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = K.load(batch.sparkSession, path, below=number)
+        if old is None and number and K.load(batch.sparkSession, path) is None:
+            raise RuntimeError(f"batch {number}: no version before it in {path}")
+        K.save(K.upsert(old, batch.dropDuplicates(["track"])), path, number)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
