@@ -6,7 +6,9 @@ count among the digest's buckets (two bits). Two digests are compared by the sum
 length codes' distance, bounded and turned into a likeness from 0 to 1.
 
 Null text counts as the empty text, whose digest is all zero; equal texts have equal digests; texts shorter
-than a triplet's span count what fits. Extra columns are ignored by fingerprint_pairs().
+than a triplet's span count what fits, very long ones are read whole. fingerprint_pairs() orders rows by key (null
+first) and, of equal keys, by a hash of the text; repeated rows give a row each; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,15 +16,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, cut, give_back
 
 BUCKETS = 512
 #: Distances of a triplet's second and third byte from its first; wide ones depend less on the language's own letter groups.
 SPANS = ((1, 2), (2, 5), (3, 9), (5, 13), (7, 17), (11, 23))
 LOWEST = -(1 << 63)
+ROWS = 8_192  # of a range of keys
+FEW = 10_000  # ranges whose successors are broadcast
 
 
 def _tables() -> np.ndarray:
@@ -52,10 +58,15 @@ def codes(text: str) -> np.ndarray:
     return out
 
 
-def digest(code: np.ndarray) -> str:
-    """The digest of codes(): two hex digits of length, then four codes a byte in hex."""
+def packed(code: np.ndarray) -> bytes:
+    """The digest of codes() as bytes: the length code, then four quartiles a byte."""
     q = code[1:].reshape(-1, 4)
-    return bytes([code[0]]).hex() + (q[:, 0] << 6 | q[:, 1] << 4 | q[:, 2] << 2 | q[:, 3]).astype(np.uint8).tobytes().hex()
+    return bytes([code[0]]) + (q[:, 0] << 6 | q[:, 1] << 4 | q[:, 2] << 2 | q[:, 3]).astype(np.uint8).tobytes()
+
+
+def digest(code: np.ndarray) -> str:
+    """The digest of codes() in lowercase hex."""
+    return packed(code).hex()
 
 
 def fingerprint(text: str | None) -> str:
@@ -79,46 +90,64 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 - min(diff, BOUND) / BOUND
 
 
-def _with_next(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows with the text of the next row by (key, text); the last row's next is the first.
+def _compared(text: str, code: np.ndarray, after: str, code_after: np.ndarray) -> tuple:
+    """The columns of fingerprint_pairs() for a text and the one after it."""
+    part = len(text) // 4
+    edited = text[: len(text) - part] + after[:part]
+    e = codes(edited)
+    return len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest(), packed(code), packed(e), likeness(code, e), likeness(code, code_after)
 
-    Keys are cut into ranges, each a window of its own; the first row of every range also stands, marked, at
-    the end of the range before. Only range bounds and first keys (a few for each shuffle partition) reach the driver.
-    """
-    spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ids = rows.select("_k")
-    bounds = sorted(set(ids.where(F.col("_k") > LOWEST).stat.approxQuantile("_k", [i / parts for i in range(1, parts)], 1 / (8 * parts))))
-    limits = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array(F.lit(LOWEST))
-    place = F.size(F.filter(limits, lambda b: b <= F.col("_k")))
-    firsts = [r["k"] for r in ids.groupBy(place.alias("p")).agg(F.min("_k").alias("k")).orderBy("p").collect()]
-    if not firsts:
-        return rows.select("_key", "_text", F.lit("").alias("_next"))
-    before = dict(zip(firsts, firsts[-1:] + firsts[:-1], strict=True))  # a range's first key -> the first key of the range before
-    own = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    starts = F.array(*[F.lit(x) for x in firsts])
-    start = F.array_max(F.filter(starts, lambda b: b <= F.col("_k")))
-    dealt = rows.withColumn("_range", start).withColumn("_tail", F.lit(0))
-    tails = rows.where(F.col("_k").isin(firsts)).withColumn("_range", own[F.col("_k")]).withColumn("_tail", F.lit(1))
-    w = Window.partitionBy("_range").orderBy("_tail", "_k", "_text")
-    return dealt.unionByName(tails).withColumn("_next", F.lead("_text").over(w)).where("_tail = 0").select("_key", "_text", "_next")
+
+MADE = {"n_chars": "long", "edited_sha256": "binary", "fingerprint": "binary", "edited_fingerprint": "binary", "near_edited": "double", "near_next": "double"}
+DONE, LAST, HEAD = 0, 1, 2
 
 
 def fingerprint_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: its digest, its edited text's (the last quarter replaced from the next row), and both likenesses.
 
-    Ties of the key are ordered by text; a null key comes first.
+    Rows are dealt by ranges of the key, ROWS each, and walked in order, each text digested once. Only a range's first
+    and last row meet another range: they are kept with their texts, and the last is joined with the next range's first.
+    The driver sees the numbers of the ranges that hold rows.
     """
-
-    def make(texts, nexts):
-        out = []
-        for t, n in zip(texts, nexts, strict=True):
-            cut = len(t) // 4
-            edited = t[: len(t) - cut] + n[:cut]
-            a, e, b = codes(t), codes(edited), codes(n)
-            out.append((len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(a), digest(e), likeness(a, e), likeness(a, b)))
-        return list(zip(*out, strict=True)) if out else [[]] * 6
-
-    made = {"n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
-    return add_columns(_with_next(df, key, text), ["_text", "_next"], made, lambda: make, ["_key"]).withColumnRenamed("_key", key)
+    spark = df.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    order = ["_k", "_h", "_m"]  # the last, so that a large group of equal rows is dealt to several ranges
+    rows = rows.withColumns({"_h": F.xxhash64("_text"), "_m": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("_key", "_text")
+
+    def walk(batches):
+        at, waiting = TaskContext.get().partitionId(), None
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                out = []
+                for k, t in zip(pdf["_key"].iloc[i : i + 256], pdf["_text"].iloc[i : i + 256], strict=True):
+                    code = codes(t)
+                    if waiting is None:
+                        out.append((k, *[None] * 6, at, HEAD, t))
+                    else:
+                        out.append((waiting[0], *_compared(*waiting[1:], t, code), at, DONE, None))
+                    waiting = (k, t, code)
+                yield pd.DataFrame(out, columns=names)
+            give_back()
+        if waiting is not None:
+            yield pd.DataFrame([(waiting[0], *[None] * 6, at, LAST, waiting[1])], columns=names)
+
+    names = ["_key", *MADE, "_part", "_kind", "_text"]
+    shape = ", ".join(f"{n} {t}" for n, t in ({"_key": dict(rows.dtypes)["_key"]} | MADE | {"_part": "int", "_kind": "int", "_text": "string"}).items())
+    walked = cut(rows.mapInPandas(walk, shape))
+    shown = [F.lower(F.hex(n)).alias(n) if t == "binary" else n for n, t in MADE.items()]
+    heads = walked.where(F.col("_kind") == HEAD).select(F.col("_part").alias("_next"), F.col("_text").alias("_after"))
+    held = sorted(r["_next"] for r in heads.select("_next").collect())
+    if not held:
+        return walked.select(F.col("_key").alias(key), *shown)
+    follows = spark.createDataFrame(list(zip(held, held[1:] + held[:1], strict=True)), "_part int, _next int")
+    follows = F.broadcast(follows) if len(held) <= FEW else follows
+    last = walked.where(F.col("_kind") == LAST).select("_key", "_part", "_text").join(follows, "_part").join(heads, "_next")
+
+    def finish(texts, afters):
+        out = [_compared(t, codes(t), n, codes(n)) for t, n in zip(texts, afters, strict=True)]
+        return list(zip(*out, strict=True)) if out else [[]] * len(MADE)
+
+    closed = add_columns(last, ["_text", "_after"], MADE, lambda: finish, ["_key"])
+    return walked.where(F.col("_kind") == DONE).select("_key", *MADE).unionByName(closed).select(F.col("_key").alias(key), *shown)
