@@ -21,9 +21,10 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, keep_one
 
-PIECES, WORDS = 300_000, 60_000  # runs and words kept by a worker; then the table starts anew
+PIECES, WORDS = 200_000, 60_000  # runs and words kept by a worker; then the table starts anew
+LONGEST = 128  # characters of those that are kept
 PAIRS = 250_000  # pair verdicts kept by a worker
 END = ""  # stands for the end of a word inside the automaton
 INF = 1 << 60
@@ -157,9 +158,11 @@ class PrefixBPE:
         out, known, chars = [], self.word_ids, self.chars
         for w in self.words(piece):
             if (ids := known.get(w)) is None:
+                ids = self.encode_word("".join([chars[b] for b in w.encode()]) if not (w.isascii() and w.isprintable()) else w)
                 if len(known) >= WORDS:
                     known.clear()
-                ids = known[w] = self.encode_word("".join([chars[b] for b in w.encode()]) if not (w.isascii() and w.isprintable()) else w)
+                if len(w) <= LONGEST:
+                    known[w] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -174,9 +177,11 @@ class PrefixBPE:
             out = []
             for p in pieces:
                 if (ids := known.get(p)) is None:
+                    ids = self.encode_piece(p)
                     if len(known) >= PIECES:
                         known.clear()
-                    ids = known[p] = self.encode_piece(p)
+                    if len(p) <= LONGEST:
+                        known[p] = ids
                 out.append(ids)
             return b"".join(out)
 
@@ -191,15 +196,9 @@ class PrefixBPE:
         return " ".join(map(self.names.__getitem__, array("I", packed)))
 
 
-_loaded: dict[int, PrefixBPE] = {}
-
-
 def encoder(spec: str) -> PrefixBPE:
-    """The worker's encoder for a vocabulary; built once."""
-    key = zlib.crc32(spec.encode())
-    if key not in _loaded:
-        _loaded[key] = PrefixBPE(spec)
-    return _loaded[key]
+    """The worker's encoder for a vocabulary; built once for tasks that follow each other."""
+    return keep_one(("bpe", zlib.crc32(spec.encode())), lambda: PrefixBPE(spec))
 
 
 def _spec(df: DataFrame, vocabulary: str):

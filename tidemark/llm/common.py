@@ -40,6 +40,31 @@ def fold(column: str, m: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(m)
 
 
+_kept: dict[tuple, object] = {}  # at most one object that a Python worker keeps from task to task
+_asked: list[tuple] = []  # its key, where the present task has asked for it
+
+
+def keep_one(key: tuple, make: Callable[[], object]):
+    """The object of ``key``, made if the worker doesn't hold it; it takes the place of any other."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    _asked.append(key)
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: Python workers live through many tasks, and each would keep its largest batch."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def fit_apart(rows: DataFrame, fit: Callable, spare: Callable[[], object]):
     """What ``fit`` makes of ``rows`` (a bounded sample, as one pandas frame), fitted in one task; ``spare()`` of no rows.
 
@@ -48,7 +73,9 @@ def fit_apart(rows: DataFrame, fit: Callable, spare: Callable[[], object]):
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"model": [pickle.dumps(fit(pdf), protocol=5)]})
+        out = pd.DataFrame({"model": [pickle.dumps(fit(pdf), protocol=5)]})
+        give_back()
+        return out
 
     found = rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "model binary").first()
     return spare() if found is None else pickle.loads(bytes(found["model"]))
@@ -72,12 +99,20 @@ def add_columns(df: DataFrame, inputs: list[str], made: dict[str, str], start: C
     fields = [df.schema[c] for c in keep] + new.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tidemark.llm.common import _asked, _kept, give_back  # the worker's own, not copies sent with this function
+
+        _asked.clear()
         make = start()
+        if not _asked:  # what another operator kept is of no use here
+            _kept.clear()
         for batch in batches:
+            part = out = None
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 out = make(*[part.column(f"_in{i}").to_pylist() for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([part.column(f"_keep{i}") for i in range(len(keep))] + [pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)], names=names)
+            del batch, part, out
+            give_back()
 
     names = [f.name for f in fields]
     sent = df.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])

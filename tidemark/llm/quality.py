@@ -4,10 +4,13 @@ Every labeller votes good, bad or abstains on figures of the whole text. The vot
 counted; expectation-maximisation on those counts estimates each labeller's accuracies and the share of good
 documents, and gives each pattern's posterior. About MAX_DOCS documents, by a hash of their text, with their
 patterns' posteriors as labels, train a linear scorer on hashed word features (their mean over the words) and
-hashed bins of the figures. Documents whose score is below KEEP are rejected.
+hashed bins of the figures; together they hold at most about MAX_ENTRIES features, or fewer of them train. Documents
+whose score is below KEEP are rejected.
 
-Null and empty texts get score 0 and are rejected; repeated rows count as often as they stand; an empty table
-gives no rows; no label, language, source or id is read.
+Null and empty texts get score 0 and are rejected; very long texts are read whole, words beyond 64 characters in
+parts; repeated rows vote as often as they stand, are scored each and train once; an empty table gives no rows;
+quality() ignores extra columns, score() keeps them and raises ValueError if they clash with its own. No label,
+language, source or id is read.
 """
 
 from __future__ import annotations
