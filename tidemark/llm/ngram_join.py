@@ -18,7 +18,7 @@ carried as labels through these steps, and only what the last one finds needs co
 
 Results for odd input: null, empty and blank texts have no shingles, link with nothing and are their own
 component; rows with equal ids are rows of their own; a null id stays null and never names a component unless all
-its ids are null; an empty table gives no rows; extra columns are ignored. Shingles and sets are told apart by
+its ids are null; an empty table gives no rows; very long texts are read whole; extra columns are ignored. Shingles and sets are told apart by
 64-bit hashes.
 """
 
@@ -31,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut
+from .common import add_columns, cut, give_back
 from .components import components
 
 CHUNK = 2_000
 LEAF, FAN = 16, 8
 RATIO = 1.3  # of a size class's bounds; at least 100 / percent
-WORDS = 300_000  # words whose hashes a worker keeps
+WORDS, WORD_BYTES = 300_000, 32 << 20  # words whose hashes a worker keeps, and their bytes
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -51,7 +51,7 @@ class Shingler:
     """Sorted 64-bit hashes of a text's distinct n-word shingles."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n, self.known, self.held = n, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         import xxhash
@@ -62,9 +62,12 @@ class Shingler:
         known = self.known
         new = set(words).difference(known)
         if new:
-            if len(known) + len(new) > WORDS:
+            size = sum(map(len, new))
+            if len(known) + len(new) > WORDS or self.held + size > WORD_BYTES:
                 known.clear()
                 new = set(words)
+                self.held, size = 0, sum(map(len, new))
+            self.held += size
             known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(h))
@@ -253,6 +256,7 @@ def _labels(members: DataFrame, sets: DataFrame, by: list[str], percent: int) ->
             for i, j in join_block([np.frombuffer(b, np.uint64) for b in pdf["s"]], label.copy(), percent):
                 label[label == label[j]] = label[i]
         least = pd.Series(node).groupby(label).transform("min")
+        give_back()
         return pd.DataFrame({"node": node, "label": least.to_numpy()})
 
     return members.join(sets, "node").groupBy(*by).applyInPandas(run, "node long, label long")
@@ -265,6 +269,7 @@ def _links(members: DataFrame, sets: DataFrame, by: list[str], percent: int) ->
         pdf = pdf.sort_values(["flag", "node"], ascending=[False, True]).drop_duplicates("node")
         comp = pdf["comp"].to_numpy()
         found = join_block([np.frombuffer(b, np.uint64) for b in pdf["s"]], comp, percent, pdf["flag"].to_numpy(bool)) if len(pdf) > 1 else []
+        give_back()
         return pd.DataFrame({"u": comp[[i for i, _ in found]] if found else [], "v": comp[[j for _, j in found]] if found else []}, dtype="int64")
 
     return members.join(sets, "node").groupBy(*by).applyInPandas(run, "u long, v long")
@@ -345,5 +350,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = nodes.select("node", "id").join(label, "node")
     name = named.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = label.join(name, "root").select("node", "component_id")
-    own = rows.select("id", "n", "node").join(nodes.select("node", F.col("id").alias("_least")), "node", "left").join(linked, "node", "left")
-    return own.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_least", "id").alias("component_id"))
+    # one join for all documents, so that adaptive execution can split a set that very many of them share
+    known = nodes.select("node", F.col("id").alias("_least")).join(linked, "node", "left").select("node", F.coalesce("component_id", "_least").alias("_name"))
+    own = rows.select("id", "n", "node").join(known, "node", "left")
+    return own.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("_name", "id").alias("component_id"))
