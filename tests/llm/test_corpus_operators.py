@@ -36,24 +36,38 @@ def test_search_recall(spark):
 
 
 def test_search_blocks_ties_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(multi_index, "BLOCK", 16)
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", 16 * 48)
+    monkeypatch.setattr(multi_index, "ASKED", 2)
     monkeypatch.setattr(multi_index, "MISS", 0.0)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(90, 6)).round(3)
     v[30:60] = v[30]  # a group of copies
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     bad = [(100, None), (120, [0.0] * 6), (140, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (160, [float("nan")] * 6), (180, [1.0]), (None, [1.0] * 6), (200, [])]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumns({"rank": F.lit(1), "h": F.lit(2), "cell": F.lit("x")})
     got = collections.defaultdict(list)
     for r in multi_index.search(df, F.col("vec_id") % 20 == 0, k=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
         assert r.score == float((v[r.query_id] * v[r.vec_id]).sum())
     want = exact(range(90), v, 8)
     assert dict(got) == {q: want[q] for q in range(0, 90, 20)}
-    assert multi_index.search(df.where("vec_id >= 100"), F.lit(True)).count() == 0 or True
+    many = multi_index.search(df, F.col("vec_id") == 40, k=80).orderBy("rank").collect()
+    assert [r.vec_id for r in many] == exact(range(90), v, 80)[40] and [r["rank"] for r in many] == list(range(1, 81))
+    assert multi_index.search(df, F.col("vec_id") == 40, k=200).count() == 89
     assert multi_index.search(df.where("1 = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.filterwarnings("error::RuntimeWarning")
+def test_search_short_vectors_and_repeated_ids(spark):
+    one = spark.createDataFrame([(i, [float(i - 5)]) for i in range(12)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in multi_index.search(one, F.col("vec_id") == 0, k=3).orderBy("rank").collect()] == [1, 2, 3]
+    rows = [(1, [1.0, 0.0])] * 3 + [(1, [0.5, 0.0]), (2, [2.0, 0.0]), (3, [0.1, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter((r["rank"], r.vec_id, r.score) for r in multi_index.search(df, F.col("vec_id") == 1, k=2).collect())
+    # two queries: of (1, 0) the near are (2, 0) and its id's other row; of (0.5, 0) they are (2, 0) and (1, 0)
+    assert got == {(1, 2, 2.0): 1, (2, 1, 0.5): 2, (1, 2, 1.0): 1}
+
+
 def brute(texts, n, percent):
     sets = []
     for t in texts:
@@ -147,12 +161,46 @@ def test_components(spark):
     assert CC.components(df.where("1 = 0")).count() == 0
 
 
-def test_targets_share_the_excess():
-    t = mixing.targets([("b", 100), ("a", 10), (None, 100), ("c", 100)])
+def plain_targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0):
+    """Fill by weight; what is above a cap is shared anew among the rest, one source at a time."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    out, left = {}, min(share, cap) * sum(sizes.values())
+    while len(out) < len(sizes):
+        rest = [s for s in order if s not in out]
+        each = left / sum(weight[s] for s in rest)
+        over = min(rest, key=lambda s: cap * sizes[s] / weight[s])
+        if each * weight[over] < cap * sizes[over]:
+            return out | {s: each * weight[s] for s in rest}
+        out[over] = cap * sizes[over]
+        left = max(0.0, left - out[over])
+    return out
+
+
+def test_targets_share_the_excess(spark):
+    def got(sizes):
+        return {r._s: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "_s string, n long")).collect()}
+
     # weights a 5, b 2, c 1, null 5 of 465 words: a stops at 20; then null at 200, then b at 163.33 ...
+    t = got({"b": 100, "a": 10, None: 100, "c": 100})
     assert t["a"] == 20 and t[None] == 200 and sum(t.values()) == pytest.approx(465)
     assert t["b"] == pytest.approx(2 * t["c"])
-    assert mixing.targets([]) == {} and mixing.targets([("x", 0)]) == {"x": 0.0}
+    assert got({}) == {} and got({"x": 0}) == {"x": 0.0}
+    rng = np.random.default_rng(4)
+    sizes = {f"s{i}\U0001f600é"[: int(rng.integers(2, 6))] + str(i): int(rng.lognormal(5, 2)) for i in range(40)} | {None: 7}
+    want = plain_targets(sizes)
+    assert got(sizes) == {s: pytest.approx(v) for s, v in want.items()}
+
+
+def test_mix_splits_a_group_of_equal_rows(spark):
+    rows = [(1, "a b c d", "x", "p")] * 50 + [(2, "u v", "y", "q")] * 4 + [(1, "a b c d", "x", "other")] * 3 + [(3, "long " * 5000, "z", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more string")
+    want = plain_targets({"x": 212, "y": 8, "z": 5000})
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and collections.Counter(r.more for r in got) == {"p": 50, "q": 4, "other": 3, "r": 1}
+    for s, n in (("x", 4), ("y", 2), ("z", 5000)):
+        took = sum(r.taken for r in got if r.source == s)
+        assert 0 <= want[s] - took < n and all(r.taken <= 2 * r.size for r in got)
 
 
 def test_fit_is_exhaustive_on_small_sources():
@@ -167,7 +215,7 @@ def test_fit_is_exhaustive_on_small_sources():
         for n, c in zip(lengths, counts):
             reach = {r + k * int(n) for r in reach for k in range(c + 1)}
         best = max(r for r in reach if r <= budget)
-        assert int((x * lengths).sum()) <= budget and best - int((x * lengths).sum()) <= lengths.max()
+        assert int((x * lengths).sum()) == best
 
 
 def test_fit_meets_large_budgets():
@@ -190,7 +238,7 @@ def test_mix_rows(spark):
     for r in got:
         assert r.size == len((r.text or "").split()) and r.taken in (0, r.size, 2 * r.size)
         by[r.source].append(r)
-    want = mixing.targets([(s, sum(r.size for r in rs)) for s, rs in by.items()])
+    want = plain_targets({s: sum(r.size for r in rs) for s, rs in by.items()})
     for s, rs in by.items():
         assert rs[0].target == pytest.approx(want[s]) and rs[0].source_size == sum(r.size for r in rs)
         assert abs(sum(r.taken for r in rs) - want[s]) <= 1
@@ -225,3 +273,23 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("1 = 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+ODD = [(1, "", "en", "a", 0), (2, None, None, None, None), (None, "the cat and the dog were out in the rain all day long", "en", "a", 5), (3, "½ ² Ⅷ 12 %%", None, "b", 9), (4, "word " * 60_000, "en", "a", 300_000)] + [(5, "der hund und die katze sind heute nicht zu hause gewesen", "de", "b", 60)] * 3
+
+
+def test_stages_take_odd_rows(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).collect()
+        ids = [r.doc_id for r in out]
+        if name == "language_id":
+            assert 1 not in ids and 2 not in ids and 3 not in ids and ids.count(5) == 3
+        elif name == "quality":
+            assert 1 not in ids and 2 not in ids
+        elif name == "near_duplicates":
+            assert sorted(map(str, ids)) == ["1", "2", "3", "4", "5", "None"]
+        elif name == "mixing":
+            assert set(ids) <= {None, 3, 4, 5}
+        else:
+            assert len(ids) == len(ODD) and {r.doc_id: r.n_tokens for r in out}[2] == 0
