@@ -196,7 +196,7 @@ tn AS (SELECT *, CASE WHEN i > 0 AND (x < 0) <> (lag(x) OVER (PARTITION BY track
 fr AS (SELECT track, i - (k * 64 - 32) AS n, k AS frame, x, turn FROM tn, (VALUES (0), (1)) AS w(d), LATERAL (SELECT i // 64 + d AS k) WHERE i >= k * 64 - 32 AND i < k * 64 + 32),
 sp AS (SELECT track, frame, b, sqrt(pow(sum(x * h * cos(2 * pi() * b * n / 64)), 2) + pow(sum(x * h * sin(2 * pi() * b * n / 64)), 2)) AS m FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * n / 64) AS h FROM fr), range(33) AS q(b) GROUP BY 1, 2, 3),
 ce AS (SELECT track, frame, sum(m * b) / sum(m) AS centroid FROM sp GROUP BY 1, 2), ag AS (SELECT track, frame, sqrt(sum(x * x) / 64) AS rms, sum(turn) / 64 AS zcr FROM fr GROUP BY 1, 2)
-SELECT track, frame, round(rms, 6) + 0.0 AS rms, round(zcr, 6) + 0.0 AS zcr, round(centroid, 2) + 0.0 AS centroid FROM ag JOIN ce USING (track, frame)""")
+SELECT track, frame, round(rms, 6) + 0.0 AS rms, round(zcr, 6) + 0.0 AS zcr, round(centroid, 1) + 0.0 AS centroid FROM ag JOIN ce USING (track, frame)""")
 def kernel_frames(spark, d):
     """A label's vectors end to end as a signal: energy, zero crossings and spectral centroid of centred frames of 64 samples."""
     y = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("frame", "e"))), lambda s: s.e))
@@ -215,7 +215,7 @@ def kernel_frames(spark, d):
                 yield pd.DataFrame({"track": track, "frame": range(len(rms)), "rms": rms, "zcr": G.zero_crossings(s, 64, 64), "centroid": G.centroid(G.stft(s, 64, 64), G.frequencies(64, 64))})
 
     out = x.mapInPandas(run, "track long, frame long, rms double, zcr double, centroid double")
-    return out.select("track", "frame", r("rms").alias("rms"), r("zcr").alias("zcr"), r("centroid", 2).alias("centroid"))
+    return out.select("track", "frame", r("rms").alias("rms"), r("zcr").alias("zcr"), r("centroid", 1).alias("centroid"))
 
 
 @query("""SELECT doc_id, round(CASE WHEN p + h = 0 THEN NULL ELSE (p - h) / (p + h) END, 6) + 0.0 AS balance FROM (SELECT doc_id, n_chars::DOUBLE AS h, length(coalesce(text, '')) / 2.0 AS p FROM documents)""")

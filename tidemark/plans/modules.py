@@ -263,8 +263,8 @@ def overtones(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFram
         "track", F.round(F.col("frame") * second, 2).alias("t"), F.round("f0", 2).alias("f0"), "harmonics", F.when(sung, F.round(F.coalesce(fit, F.lit(0.0)), 3)).alias("series_fit"), F.when(sung, F.round(F.coalesce("inharmonicity", F.lit(0.0)), 2)).alias("inharmonicity"),
         F.when(sung, F.round(rich, 3)).alias("richness"), F.when(F.col("_over") > 0, F.col("dominant_harmonic")).alias("dominant_harmonic"),
     )
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
-    whole = stream.groupBy("track").agg(F.count("*").alias("total_frames"), F.count("f0").alias("voiced_frames"), zero(F.avg("series_fit")).alias("mean_series_fit"), zero(F.avg("richness")).alias("mean_richness"), zero(F.avg("inharmonicity")).alias("mean_inharmonicity"), F.max("t").alias("duration"))
+    mean = lambda c: F.coalesce(F.round(F.avg(F.col(c).cast("decimal(18,3)")), 4).cast("double"), F.lit(0.0))  # noqa: E731  of numbers with at most three decimals
+    whole = stream.groupBy("track").agg(F.count("*").alias("total_frames"), F.count("f0").alias("voiced_frames"), mean("series_fit").alias("mean_series_fit"), mean("richness").alias("mean_richness"), mean("inharmonicity").alias("mean_inharmonicity"), F.max("t").alias("duration"))
     top = stream.where("dominant_harmonic IS NOT NULL").groupBy("track", "dominant_harmonic").agg(F.count("*").alias("c")).groupBy("track").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dominant_harmonic", "c")))).alias("dominant_histogram"))
     prof = m.groupBy("track", "n").agg(F.count("*").alias("c"), F.avg("magnitude").alias("mean_magnitude")).join(whole.select("track", "voiced_frames"), "track")
     prof = prof.groupBy("track").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("n", F.struct(F.round(100 * F.col("c") / F.col("voiced_frames"), 1).alias("presence_pct"), F.round("mean_magnitude", 4).alias("mean_magnitude")).alias("v"))))).alias("harmonic_profile"))

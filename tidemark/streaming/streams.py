@@ -181,7 +181,7 @@ def _stateful(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataF
     if df.isStreaming:
         return df.groupBy("track").transformWithStateInPandas(processor, schema, "Append", "None")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         processor.init(_InMemory())
         return pd.concat(processor.handleInputRows(key, iter([pdf]), None))
 
