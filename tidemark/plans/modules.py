@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from ..functions import harmony as H
 from ..functions import scalar as S
 from ..operators import events as E
+from ..operators import listening as L
 from ..operators import signal as G
 from ..operators import timeseries as T
 from ..operators.overtones import match_harmonics
@@ -128,44 +129,35 @@ def report(f: DataFrame, second: float = SECOND) -> DataFrame:
     )
 
 
+#: Columns of features() that heard() reads.
+HEARS = ["track", "duration", "beats", "rms", "h_rms", "p_rms", "flux", "fine_rms"]
+
+
+def heard(f: DataFrame, second: float = SECOND) -> DataFrame:
+    """One row per track with the curves of its grid, its events in order and their means (listening.HEARD)."""
+    kinds = StructType.fromDDL(L.HEARD)
+    schema, fine = to_arrow_schema(kinds), second * 256 / G.HOP
+    return f.select(*HEARS).mapInArrow(lambda batches: L.hear(batches, schema, second, fine), kinds)
+
+
 def perception(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stream, events, summary) of every track."""
-    grid = _grid(f)
-    beats = f.select("track", F.explode("beats").alias("t"))
-    spectral = T.spectral_disruption(_series(f, "flux", "flux", second), "flux")
-    curves = f.select("track", F.posexplode(F.arrays_zip("rms", "h_rms", "p_rms")).alias("frame", "e")).select("track", F.col("frame").cast("long").alias("frame"), (F.col("frame") * second).alias("t"), "e.*")
-    curves = T.breath(T.energy_disruption(curves, "rms", "step"), "rms")
-    curves = T.moving_average(curves, ["h_rms", "p_rms"], 20, ["h_energy", "p_energy"]).withColumnRenamed("rms", "energy")
-    quiet = T.silences(T.decibels(_series(f, "fine_rms", "rms", second * 256 / G.HOP), "rms"))
-    every = [
-        T.momentum(beats, grid).drop("n"), T.beat_disruption(beats, grid).withColumnRenamed("disruption", "_b"), T.interpolate(grid, spectral, "flux"),
-        T.interpolate(grid, curves, ["step", "energy", "breath", "h_energy", "p_energy"]), T.in_silence(grid, quiet),
-    ]
-    # tracks with no beats have no row in a beat series; they keep the grid with zeros
-    joined = reduce(lambda a, b: a.join(b.drop("t"), ["track", "i"], "left"), every, grid)
-    total = E.total_disruption(F.col("_b"), F.col("flux"), F.col("step"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    x = joined.withColumns({"disruption": total, "momentum": zero("momentum"), "breath": zero("breath"), "energy": zero("energy"), "h_energy": zero("h_energy"), "p_energy": zero("p_energy")})
-    x = x.withColumn("hp_balance", S.hp_balance(F.col("h_energy"), F.col("p_energy"), 0.005))
+    h = heard(f, second)
+    points = h.select("track", F.posexplode(F.arrays_zip(*L.CURVES, "silence", "silence_depth_db")).alias("i", "x")).select("track", F.col("i").cast("long").alias("i"), (F.col("i") * STEP).alias("t"), "x.*")
+    x = points.withColumn("hp_balance", S.hp_balance(F.col("h_energy"), F.col("p_energy"), 0.005))
     stream = E.edge_flags(x).select(
         "track", "i", F.round("t", 1).alias("t"), F.round("energy", 4).alias("energy"), F.round("momentum", 3).alias("momentum"), F.round(1 - F.col("disruption"), 3).alias("pattern_lock"), F.round("breath", 3).alias("breath"),
         F.round("hp_balance", 3).alias("hp_balance"), F.round("h_energy", 4).alias("h_energy"), F.round("p_energy", 4).alias("p_energy"), "silence", "silence_depth_db", "event",
     )
-    events = E.union_events(x.select("track", "i", "t", "momentum", "disruption"), quiet)
-    on = lambda c: F.when(~F.col("silence"), F.col(c))
-    pair = lambda c, n: [F.avg(c).alias(f"mean_{n}"), F.coalesce(F.avg(on(c)), F.avg(c)).alias(f"mean_{n}_active")]
-    share = lambda c: F.avg(c.cast("int")) * 100
-    lock = x.withColumn("lock", 1 - F.col("disruption"))
-    agg = lock.groupBy("track").agg(
-        *pair("momentum", "momentum"), *pair("lock", "pattern_lock"), F.array(F.min("momentum"), F.max("momentum")).alias("momentum_range"),
-        share(F.col("breath") > 0.05).alias("breath_positive_pct"), share(F.col("breath") < -0.05).alias("breath_negative_pct"), share(F.abs("breath") <= 0.05).alias("breath_sustain_pct"),
+    events = h.select("track", F.posexplode("events").alias("place", "e")).select("track", "e.*", (F.col("place") + 1).cast("long").alias("seq"))
+    of = lambda k: F.filter("events", lambda e: e.type == k)
+    total = F.aggregate(of("silence"), F.lit(0).cast("decimal(28,2)"), lambda a, e: (a + e.duration.cast("decimal(18,2)")).cast("decimal(28,2)"))
+    s = h.withColumns({"total_silence_sec": F.round(total, 1).cast("double"), "momentum_range": F.when(F.col("momentum_min").isNotNull(), F.array("momentum_min", "momentum_max"))})
+    counts = F.create_map(*[y for k in E.TYPES for y in (F.lit(k), F.size(of(k)).cast("long"))])
+    summary = s.select(
+        "track", "duration", *L.MEANS[:4], "momentum_range", *L.MEANS[6:], "total_silence_sec", counts.alias("pattern_break_counts"), F.size("events").cast("long").alias("pattern_break_count"),
+        F.round(100 * F.col("total_silence_sec") / F.col("duration"), 1).alias("silence_pct"), F.round(F.col("duration") - F.col("total_silence_sec"), 1).alias("active_duration_sec"),
     )
-    silence = quiet.groupBy("track").agg(F.round(F.sum(F.col("duration").cast("decimal(18,2)")), 1).cast("double").alias("total_silence_sec"))
-    counts = events.groupBy("track").agg(F.create_map(*[y for k in E.TYPES for y in (F.lit(k), F.count_if(F.col("type") == k))]).alias("pattern_break_counts"), F.count("*").alias("pattern_break_count"))
-    none = F.create_map(*[y for k in E.TYPES for y in (F.lit(k), F.lit(0).cast("long"))])
-    s = f.select("track", "duration").join(agg, "track", "left").join(silence, "track", "left").join(counts, "track", "left")
-    s = s.withColumns({"total_silence_sec": zero("total_silence_sec"), "pattern_break_count": F.coalesce("pattern_break_count", F.lit(0).cast("long")), "pattern_break_counts": F.coalesce("pattern_break_counts", none)})
-    summary = s.withColumn("silence_pct", F.round(100 * F.col("total_silence_sec") / F.col("duration"), 1)).withColumn("active_duration_sec", F.round(F.col("duration") - F.col("total_silence_sec"), 1))
     return stream, events, summary
 
 
