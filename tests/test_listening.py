@@ -13,7 +13,7 @@ def exchanges(spark, name):
     return entry.plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
 
-@pytest.mark.parametrize("name", ["perception_events", "event_timestamps"])
+@pytest.mark.parametrize("name", ["perception_events", "event_timestamps", "perception_summary"])
 def test_perception_meets_once(spark, name):
     """A plan of a hundred exchanges took more memory of the driver than its limit."""
     assert exchanges(spark, name) <= 2
