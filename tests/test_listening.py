@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,16 @@ def test_rows_without_time_value_or_user(spark, tmp_path):
     assert sorted(got) == ["u1", "u2"] and got["u1"].beats == [4.0, 16.0] and got["u1"].onsets == [16.0] and got["u1"].centroid == 652.5
     assert got["u1"].f0[8] is None and got["u1"].f0[33] == 196 and len(got["u1"].rms) == 34 and got["u2"].beats == []
     assert entry.plans.QUERIES["perception_events"](spark, str(tmp_path)).where("track = 'u2'").count() == 0
+
+
+def test_report_rounds_as_its_sql(spark, tmp_path):
+    """Two users: a shown decimal that ends in 5 where the product in doubles does not, and one the other way round."""
+    x = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id IN (325, 124)")
+    x.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur = c.execute(entry.plans.SQL["track_report"])
+    names = [d[0] for d in cur.description]
+    want = {r[0]: dict(zip(names, r, strict=True)) for r in cur.fetchall()}
+    got = {r.track: r.asDict() for r in entry.plans.QUERIES["track_report"](spark, str(tmp_path)).collect()}
+    assert got == want and want["u325"]["dynamic_range_ratio"] == 544.42 and want["u124"]["spectral_centroid_mean_hz"] == 511.6

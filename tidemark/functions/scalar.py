@@ -16,6 +16,11 @@ def ladder(x: Column, steps: list[tuple[float, str]], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
+def scaled_round(c: Column, n: int) -> Column:
+    """The nearest whole number of 10^-n to the product in doubles, halves away from zero, as the SQL's round(); Spark's own goes by the decimals shown."""
+    return F.round(c * F.lit(10.0**n)) / F.lit(10.0**n)
+
+
 # Label ladders; fixed values.
 def rhythm_label(x: Column) -> Column:
     return ladder(x, [(0.9, "metronomic"), (0.7, "steady"), (0.5, "loose")], "free")

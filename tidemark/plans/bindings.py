@@ -125,7 +125,9 @@ def listeners(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -
                 yield L.batch([_listened(L.numbers(b.column(1), i), L.numbers(b.column(2), i), b.column(2)[i].values.is_valid().to_numpy(zero_copy_only=False)) | {"track": b.column(0)[i].as_py()} for i in tracks], schema)
 
     out = tracks.mapInArrow(run, kinds)
-    return out if only else out.persist()
+    if not only:
+        out.persist().count()  # once it is there its size is known, else what is joined to it counts as small and is broadcast
+    return out
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:

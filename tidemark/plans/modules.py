@@ -109,7 +109,7 @@ def report(f: DataFrame, second: float = SECOND) -> DataFrame:
     arc = _series(f, "rms", "rms").withColumn("_n", F.floor(F.count("*").over(Window.partitionBy("track")) / 10))
     arc = arc.withColumn("segment", F.when(F.col("_n") > 0, F.floor(F.col("frame") / F.greatest("_n", F.lit(1)))).otherwise(0)).where("segment < 10")
     arc = arc.groupBy("track", "segment").agg(F.round(F.avg("rms"), 6).alias("mean_energy"), F.round(F.max("rms"), 6).alias("peak_energy")).groupBy("track").agg(F.sort_array(F.collect_list(F.struct("segment", "mean_energy", "peak_energy"))).alias("energy_arc"))
-    pc = f.select("track", F.explode("chroma").alias("c")).select("track", F.posexplode("c").alias("pc", "e")).groupBy("track", "pc").agg(F.avg("e").alias("e"))
+    pc = f.select("track", F.explode("chroma").alias("c")).select("track", F.posexplode("c").alias("pc", "e")).groupBy("track", "pc").agg(F.round(F.avg("e"), 9).alias("e"))  # equal sums tie, in whatever order they were added
     top = pc.groupBy("track").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("e").alias("e"), (-F.col("pc")).alias("k")))), 1, 12).alias("_c"))
     names = F.array(*map(F.lit, S.NOTES))
     top = top.select("track", F.transform(F.slice(F.reverse("_c"), 1, 3), lambda c: F.element_at(names, 1 - c.k)).alias("dominant_chroma"))
@@ -121,9 +121,9 @@ def report(f: DataFrame, second: float = SECOND) -> DataFrame:
         "dynamic_range_ratio": F.coalesce(F.try_divide(F.array_max("rms"), F.array_min(positive)), F.lit(0.0)), "onsets_per_second": F.size("onsets") / F.col("duration"),
     }).withColumn("percussion_ratio", S.percussion_ratio(F.col("harmonic_energy"), F.col("percussive_energy")))
     return x.select(
-        "track", F.col("duration").alias("duration_seconds"), F.round("tempo", 1).alias("tempo_bpm"), F.size("beats").cast("long").alias("beat_count"), F.round("beat_regularity", 4).alias("beat_regularity"),
-        F.round("percussion_ratio", 4).alias("percussion_ratio"), "harmonic_energy", "percussive_energy", F.round("centroid", 1).alias("spectral_centroid_mean_hz"), F.size("onsets").cast("long").alias("onset_count"),
-        F.round("onsets_per_second", 3).alias("onsets_per_second"), F.round("zcr", 4).alias("mean_zcr"), F.round("dynamic_range_ratio", 2).alias("dynamic_range_ratio"), "energy_arc", "dominant_chroma", "segments",
+        "track", F.col("duration").alias("duration_seconds"), S.scaled_round(F.col("tempo"), 1).alias("tempo_bpm"), F.size("beats").cast("long").alias("beat_count"), S.scaled_round(F.col("beat_regularity"), 4).alias("beat_regularity"),
+        S.scaled_round(F.col("percussion_ratio"), 4).alias("percussion_ratio"), "harmonic_energy", "percussive_energy", S.scaled_round(F.col("centroid"), 1).alias("spectral_centroid_mean_hz"), F.size("onsets").cast("long").alias("onset_count"),
+        S.scaled_round(F.col("onsets_per_second"), 3).alias("onsets_per_second"), S.scaled_round(F.col("zcr"), 4).alias("mean_zcr"), S.scaled_round(F.col("dynamic_range_ratio"), 2).alias("dynamic_range_ratio"), "energy_arc", "dominant_chroma", "segments",
         S.rhythm_label(F.col("beat_regularity")).alias("rhythm"), S.character_label(F.col("percussion_ratio")).alias("character"), S.brightness_label(F.col("centroid")).alias("brightness"),
         S.dynamics_label(F.col("dynamic_range_ratio")).alias("dynamics"), S.texture_label(F.col("onsets_per_second")).alias("texture"),
     )
