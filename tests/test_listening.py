@@ -55,7 +55,7 @@ def test_rows_without_time_value_or_user(spark, tmp_path):
     rows = [(1, None, "2024-01-02 00:00:00"), (1, 60.0, None), (1, 70.5, "2024-01-05 00:00:00"), (None, 3.0, "2024-01-05 00:00:00"), (2, 1.0, None)]
     x = spark.createDataFrame(rows, "user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     x.write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.track: r for r in entry.plans.B.listeners(spark, str(tmp_path)).collect()}
+    got = {r.track: r for r in entry.plans.B.listeners_once(spark, str(tmp_path), list(entry.plans.B.LISTENED)).collect()}
     assert sorted(got) == ["u1", "u2"] and got["u1"].beats == [4.0, 16.0] and got["u1"].onsets == [16.0] and got["u1"].centroid == 652.5
     assert got["u1"].f0[8] is None and got["u1"].f0[33] == 196 and len(got["u1"].rms) == 34 and got["u2"].beats == []
     assert entry.plans.QUERIES["perception_events"](spark, str(tmp_path)).where("track = 'u2'").count() == 0

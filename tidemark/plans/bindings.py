@@ -66,13 +66,20 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("track"), F.col("turn").alias("seg"), (F.col("turn") * 4.0).alias("start"), "text", "role")
 
 
+def _in_frames(rows: DataFrame, length: float, **sums) -> DataFrame:
+    """(track, frame, ...) aggregates of (track, t, value) rows for every frame from 0 to a track's last."""
+    x = rows.groupBy("track", F.floor(F.col("t") / length).alias("frame")).agg(*[c.alias(n) for n, c in sums.items()])
+    every = x.groupBy("track").agg(F.max("frame").alias("m")).select("track", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("frame"))
+    return every.join(x, ["track", "frame"], "left")
+
+
 def _arrays(frames: DataFrame, **columns) -> DataFrame:
     """(track, one array a column in order of frame)."""
     rows = F.sort_array(F.collect_list(F.struct("frame", *[c.alias(n) for n, c in columns.items()])))
     return frames.groupBy("track").agg(rows.alias("_r")).select("track", *[F.col(f"_r.{n}").alias(n) for n in columns])
 
 
-#: Columns of listeners().
+#: Columns of listeners() and their types.
 LISTENED = {
     "track": "string", "duration": "double", "tempo": "double", "beats": "array<double>", "onsets": "array<double>", "rms": "array<double>", "fine_rms": "array<double>", "flux": "array<double>", "h_rms": "array<double>",
     "p_rms": "array<double>", "centroid": "double", "zcr": "double", "chroma": "array<array<double>>", "f0": "array<double>", "voiced": "array<double>", "bounds": "array<double>",
@@ -107,15 +114,12 @@ def _listened(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> dict:
     }
 
 
-def listeners(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
-    """Features of a track per user: a beat per event, one second for six hours; ``only``: some columns, for one reading.
-
-    A user's rows meet once, as two arrays in order of time, and become a track's arrays there. Whole features are kept, as the analyses explode them.
-    """
+def listeners_once(spark: SparkSession, sf_dir: str, only: list[str]) -> DataFrame:
+    """Columns ``only`` of listeners(), for one reading: a user's rows meet once, as two arrays in order of time, and become a track's arrays there."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
     rows = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("track"), (micros / 2.16e10).alias("t"), "value")
     tracks = rows.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("r")).select("track", "r.t", "r.value")
-    kinds = StructType.fromDDL(", ".join(f"{c} {LISTENED[c]}" for c in only or LISTENED))
+    kinds = StructType.fromDDL(", ".join(f"{c} {LISTENED[c]}" for c in only))
     schema = to_arrow_schema(kinds)
 
     def run(batches):
@@ -124,10 +128,28 @@ def listeners(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -
                 tracks = range(start, min(start + L.SLICE, b.num_rows))
                 yield L.batch([_listened(L.numbers(b.column(1), i), L.numbers(b.column(2), i), b.column(2)[i].values.is_valid().to_numpy(zero_copy_only=False)) | {"track": b.column(0)[i].as_py()} for i in tracks], schema)
 
-    out = tracks.mapInArrow(run, kinds)
-    if not only:
-        out.persist().count()  # once it is there its size is known, else what is joined to it counts as small and is broadcast
-    return out
+    return tracks.mapInArrow(run, kinds)
+
+
+def listeners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a track per user: a beat per event, one second for six hours; kept, as the analyses explode them."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("track"), (micros / 2.16e10).alias("t"), "value")
+    root = lambda c: F.coalesce(F.sqrt(F.avg(c * c)), F.lit(0.0)) / 997
+    v = F.col("value")
+    classes = [F.coalesce(F.sum(F.when(F.floor(v) % 12 == k, v)), F.lit(0.0)).alias(str(k)) for k in range(12)]
+    frames = _in_frames(rows, FRAME, rms=root(v), h=root(F.when(v < 100, v)), p=root(F.when(v >= 100, v)), m=F.avg("value"), c=F.array(*classes))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    f0 = F.when(F.col("m") >= 20, 55 + 2 * F.col("m"))
+    none = F.array(*[F.lit(0.0)] * 12)
+    x = _arrays(frames, rms=zero(F.col("rms")), h_rms=zero(F.col("h")), p_rms=zero(F.col("p")), chroma=F.coalesce("c", none), f0=f0, voiced=F.least(F.lit(1.0), zero(F.col("m")) / 97.31415))
+    fine = _arrays(_in_frames(rows, FRAME / 2, rms=root(v)), fine_rms=zero(F.col("rms")))
+    own = rows.groupBy("track").agg(F.ceil(F.max("t")).cast("double").alias("duration"), F.sort_array(F.collect_list("t")).alias("beats"), F.sort_array(F.collect_list(F.when(v > 50, F.col("t")))).alias("onsets"), (F.avg("value") * 10).alias("centroid"), (F.avg("value") / 1000).alias("zcr"))
+    third = F.col("duration") / 3
+    return own.join(x, "track").join(fine, "track").withColumns({
+        "tempo": 60.0 * F.size("beats") / F.col("duration"), "bounds": F.array(F.lit(0.0), third, 2 * third, F.col("duration")),
+        "flux": F.zip_with(F.slice("rms", 2, F.size("rms")), F.slice("rms", 1, F.greatest(F.size("rms") - 1, F.lit(0))), lambda b, a: F.abs(b - a)),
+    }).persist()
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
