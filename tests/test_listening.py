@@ -72,3 +72,17 @@ def test_report_rounds_as_its_sql(spark, tmp_path):
     want = {r[0]: dict(zip(names, r, strict=True)) for r in cur.fetchall()}
     got = {r.track: r.asDict() for r in entry.plans.QUERIES["track_report"](spark, str(tmp_path)).collect()}
     assert got == want and want["u325"]["dynamic_range_ratio"] == 544.42 and want["u124"]["spectral_centroid_mean_hz"] == 511.6
+
+
+def test_summary_of_tracks_without_length(spark, tmp_path):
+    """Users 1, 2 and 4 have no point of the grid (their row is at the start, before it, without a time): they have no summary and stop no other."""
+    rows = [(1, 5.0, "2024-01-01 00:00:00"), (2, 5.0, "2023-12-30 00:00:00"), (3, 60.0, "2024-01-01 02:00:00"), (4, 70.5, None), *[(5, 20.0 * k, f"2024-01-{k + 1:02} 07:30:00") for k in range(1, 25)]]
+    x = spark.createDataFrame(rows, "user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    x.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur = c.execute(entry.plans.SQL["perception_summary"])
+    names = [d[0] for d in cur.description]
+    want = {r[0]: dict(zip(names, r, strict=True)) for r in cur.fetchall()}
+    got = {r.track: r.asDict() for r in entry.plans.QUERIES["perception_summary"](spark, str(tmp_path)).collect()}
+    assert got == want and sorted(got) == ["u3", "u5"]

@@ -156,7 +156,7 @@ def perception(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFra
     counts = F.create_map(*[y for k in E.TYPES for y in (F.lit(k), F.size(of(k)).cast("long"))])
     summary = s.select(
         "track", "duration", *L.MEANS[:4], "momentum_range", *L.MEANS[6:], "total_silence_sec", counts.alias("pattern_break_counts"), F.size("events").cast("long").alias("pattern_break_count"),
-        F.round(100 * F.col("total_silence_sec") / F.col("duration"), 1).alias("silence_pct"), F.round(F.col("duration") - F.col("total_silence_sec"), 1).alias("active_duration_sec"),
+        F.round(F.try_divide(100 * F.col("total_silence_sec"), F.col("duration")), 1).alias("silence_pct"), F.round(F.col("duration") - F.col("total_silence_sec"), 1).alias("active_duration_sec"),
     )
     return stream, events, summary
 
