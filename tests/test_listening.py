@@ -86,3 +86,17 @@ def test_summary_of_tracks_without_length(spark, tmp_path):
     want = {r[0]: dict(zip(names, r, strict=True)) for r in cur.fetchall()}
     got = {r.track: r.asDict() for r in entry.plans.QUERIES["perception_summary"](spark, str(tmp_path)).collect()}
     assert got == want and sorted(got) == ["u3", "u5"]
+
+
+@pytest.mark.parametrize("name", ["perception_summary", "perception_events", "perception_stream"])
+def test_values_that_are_no_numbers(spark, tmp_path, name):
+    """NaN counts as larger than any number, in the kernel as in the SQL."""
+    rows = [(u, float(v), f"2024-01-{1 + k // 2:02} {k % 2 * 12 + k % 7:02}:10:00") for u, odd in enumerate(["nan", "inf", "-inf", "1e200", "5"]) for k, v in enumerate([*range(20, 180, 8), odd, *range(10, 60, 3)])]
+    x = spark.createDataFrame(rows, "user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    x.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur = c.execute(entry.plans.SQL[name])
+    names = [d[0] for d in cur.description]
+    got = entry.plans.QUERIES[name](spark, str(tmp_path)).select(*[f"`{n}`" for n in names]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))

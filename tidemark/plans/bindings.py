@@ -109,7 +109,7 @@ def _listened(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> dict:
     np.add.at(e, (frame[sung], pc[sung].astype(np.int64)), v[sung])
     return {
         "duration": last, "tempo": 60.0 * len(t) / last if last else None, "beats": t, "onsets": t[known & (v > 50)], "rms": rms, "fine_rms": root(fine, fine_n, fine_some)[0], "flux": np.abs(np.diff(rms)), "h_rms": root(frame, n, some & (v < 100))[0],
-        "p_rms": root(frame, n, some & (v >= 100))[0], "centroid": mean * 10 if mean is not None else None, "zcr": mean / 1000 if mean is not None else None, "chroma": list(e), "f0": np.where((count > 0) & (m >= 20), 55 + 2 * m, np.nan),
+        "p_rms": root(frame, n, some & ~(v < 100))[0], "centroid": mean * 10 if mean is not None else None, "zcr": mean / 1000 if mean is not None else None, "chroma": list(e), "f0": np.where((count > 0) & (m >= 20), 55 + 2 * m, np.nan),
         "voiced": np.minimum(1.0, m / 97.31415), "bounds": np.array([0.0, last / 3, 2 * (last / 3), last] if last is not None else []),
     }
 
