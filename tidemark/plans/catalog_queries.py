@@ -32,7 +32,7 @@ def summary_card(spark, d):
 @query("""WITH p AS (SELECT l_suppkey AS track, avg(l_quantity) AS m, max(l_quantity) AS a, avg(l_discount) * 200 AS q FROM lineitem GROUP BY 1), h AS (SELECT s_suppkey AS track, s_acctbal AS mean_tension, s_name AS detected_key FROM supplier WHERE s_acctbal > 0)
 SELECT coalesce(p.track, h.track) AS track, round(CASE WHEN q >= 10 THEN a ELSE m END, 6) + 0.0 AS mean_momentum, round(q, 6) + 0.0 AS silence_pct, mean_tension, detected_key FROM p FULL JOIN h ON p.track = h.track""")
 def catalog_index(spark, d):
-    p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("track")).agg(F.avg("l_quantity").alias("mean_momentum"), F.max("l_quantity").alias("mean_momentum_active"), (F.avg("l_discount") * 200).alias("silence_pct"))
+    p = B.in_order(spark, d, "lineitem", F.col("l_suppkey"), "l_quantity", "l_discount").groupBy("track").agg(F.avg("l_quantity").alias("mean_momentum"), F.max("l_quantity").alias("mean_momentum_active"), (F.avg("l_discount") * 200).alias("silence_pct"))
     h = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("track"), F.col("s_acctbal").alias("mean_tension"), F.col("s_name").alias("detected_key"))
     return K.index_metrics(p, [h]).select("track", r("mean_momentum").alias("mean_momentum"), r("silence_pct").alias("silence_pct"), "mean_tension", "detected_key")
 
