@@ -70,8 +70,8 @@ def in_order(spark: SparkSession, sf_dir: str, name: str, track: Column, *column
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "lineitem")
-    return x.groupBy(F.col("l_suppkey").alias("track")).agg(
+    x = in_order(spark, sf_dir, "lineitem", F.col("l_suppkey"), "l_quantity", "l_extendedprice", "l_discount")
+    return x.groupBy("track").agg(
         F.round(F.avg("l_quantity"), 6).alias("mean_quantity"), F.round(F.avg("l_extendedprice"), 6).alias("mean_price"), F.round(F.avg("l_discount"), 6).alias("mean_discount"),
         F.max("l_quantity").alias("max_quantity"), F.count("*").cast("double").alias("lines"),
     )
