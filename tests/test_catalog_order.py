@@ -26,7 +26,7 @@ def halves(tmp_path_factory):
     return c, str(d)
 
 
-@pytest.mark.parametrize("name", ["catalog_index", "catalog_rank"])
+@pytest.mark.parametrize("name", ["catalog_index", "catalog_rank", "summary_card"])
 def test_means_halfway_between_decimals(spark, halves, name):
     c, d = halves
     cur = c.execute(entry.plans.SQL[name])
