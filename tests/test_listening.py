@@ -100,3 +100,21 @@ def test_values_that_are_no_numbers(spark, tmp_path, name):
     names = [d[0] for d in cur.description]
     got = entry.plans.QUERIES[name](spark, str(tmp_path)).select(*[f"`{n}`" for n in names]).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_report_adds_in_the_tables_order(spark, tmp_path):
+    """Users whose mean lies halfway between two shown decimals and one with two equal pitch classes, their rows shuffled over five files of unlike sizes: the last bit of a sum decides, as in the SQL on one thread."""
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute("""CREATE TABLE x AS SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = 713 OR user_id IN (SELECT user_id FROM '/root/testdata/sf0.1/events.parquet' GROUP BY 1
+      HAVING (sum(value::DECIMAL(9, 2)) * 100)::BIGINT * 2 % count(*) = 0 AND (sum(value::DECIMAL(9, 2)) * 100)::BIGINT * 2 // count(*) % 2 = 1) ORDER BY hash(event_id)""")
+    (tmp_path / "events.parquet").mkdir()
+    n, cuts = c.execute("SELECT count(*) FROM x").fetchone()[0], [0, 0.05, 0.3, 0.4, 0.85, 1]
+    for k in range(5):
+        c.execute(f"COPY (SELECT * FROM x LIMIT {int(n * cuts[k + 1]) - int(n * cuts[k])} OFFSET {int(n * cuts[k])}) TO '{tmp_path}/events.parquet/{k}.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur = c.execute(entry.plans.SQL["track_report"])
+    names = [d[0] for d in cur.description]
+    want = {r[0]: dict(zip(names, r, strict=True)) for r in cur.fetchall()}
+    got = {r.track: r.asDict() for r in entry.plans.QUERIES["track_report"](spark, str(tmp_path)).collect()}
+    assert len(want) > 2 and got == want

@@ -54,18 +54,23 @@ def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours(spark, sf_dir).select("track", "t", f0.alias("f0"), (12 * F.log2(f0 / 440.0) + 69).alias("midi"), F.least(F.lit(1.0), F.col("value") / 100).alias("prob"))
 
 
+def _placed(spark: SparkSession, sf_dir: str, name: str, *columns: Column | str) -> tuple[DataFrame, list[str]]:
+    """``columns`` of table ``name`` and the names of those that say where a row stands in it (files by name)."""
+    x = table(spark, sf_dir, name)
+    place = {"_row": F.col("_metadata.row_index")}
+    if len(x.inputFiles()) > 1:
+        place = {"_file": F.col("_metadata.file_path")} | place
+    return x.select(*columns, *[c.alias(n) for n, c in place.items()]), list(place)
+
+
 def in_order(spark: SparkSession, sf_dir: str, name: str, track: Column, *columns: str) -> DataFrame:
-    """``columns`` of table ``name`` with a track's rows together and in the table's order (files by name).
+    """``columns`` of table ``name`` with a track's rows together and in the table's order.
 
     groupBy("track") then adds doubles in that order, as the SQL on one thread does, wherever the rows lay. Means that
     lie halfway between two decimals are rounded by the last bit of such a sum. Rows stream through a sort: a track of
     any length needs no more memory, but is one task.
     """
-    x = table(spark, sf_dir, name)
-    place = {"_row": F.col("_metadata.row_index")}
-    if len(x.inputFiles()) > 1:
-        place = {"_file": F.col("_metadata.file_path")} | place
-    x = x.select(track.alias("track"), *columns, *[c.alias(n) for n, c in place.items()])
+    x, place = _placed(spark, sf_dir, name, track.alias("track"), *columns)
     return x.repartition("track").sortWithinPartitions("track", *place)
 
 
@@ -94,18 +99,21 @@ def _arrays(frames: DataFrame, **columns) -> DataFrame:
     return frames.groupBy("track").agg(rows.alias("_r")).select("track", *[F.col(f"_r.{n}").alias(n) for n in columns])
 
 
-#: Columns of listeners() and their types.
+#: Columns of listeners() and their types, and ``classes``, which listeners_once() has beside them.
 LISTENED = {
     "track": "string", "duration": "double", "tempo": "double", "beats": "array<double>", "onsets": "array<double>", "rms": "array<double>", "fine_rms": "array<double>", "flux": "array<double>", "h_rms": "array<double>",
-    "p_rms": "array<double>", "centroid": "double", "zcr": "double", "chroma": "array<array<double>>", "f0": "array<double>", "voiced": "array<double>", "bounds": "array<double>",
+    "p_rms": "array<double>", "centroid": "double", "zcr": "double", "chroma": "array<array<double>>", "classes": "array<array<double>>", "f0": "array<double>", "voiced": "array<double>", "bounds": "array<double>",
 }
 
 
 def _listened(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> dict:
-    """Features of a track's rows in order of time, those without a time (NaN) first; ``known``: where the value is not null."""
-    mean = np.cumsum(v[known])[-1] / known.sum() if known.any() else None  # in order of time, wherever the rows lay
-    t, v, known = (x[~np.isnan(t)] for x in (t, v, known))
-    last = float(np.ceil(t[-1])) if len(t) else None
+    """Features of a track's rows in the table's order, in which sums are added as in the SQL; a time may lack (NaN); ``known``: where the value is not null."""
+    mean = np.cumsum(v[known])[-1] / known.sum() if known.any() else None
+    pc = np.fmod(np.floor(v), 12)
+    pitched = known & (pc >= 0)
+    classes = np.bincount(pc[pitched].astype(np.int64), v[pitched], 12)
+    t, v, known, pc = (x[~np.isnan(t)] for x in (t, v, known, pc))
+    last = float(np.ceil(t.max())) if len(t) else None
 
     def root(frame, n, some):
         count = np.bincount(frame[some], minlength=n)
@@ -113,27 +121,27 @@ def _listened(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> dict:
 
     def frames(length):
         frame = np.floor(t / length).astype(np.int64)
-        return frame, max(int(frame[-1]) + 1, 0) if len(frame) else 0, known & (frame >= 0)
+        return frame, max(int(frame.max()) + 1, 0) if len(frame) else 0, known & (frame >= 0)
 
     frame, n, some = frames(FRAME)
     rms, count = root(frame, n, some)
     fine, fine_n, fine_some = frames(FRAME / 2)
     m = np.bincount(frame[some], v[some], n) / np.maximum(count, 1)
-    e, pc = np.zeros((n, 12)), np.fmod(np.floor(v), 12)
+    e = np.zeros((n, 12))
     sung = some & (pc >= 0)
     np.add.at(e, (frame[sung], pc[sung].astype(np.int64)), v[sung])
     return {
-        "duration": last, "tempo": 60.0 * len(t) / last if last else None, "beats": t, "onsets": t[known & (v > 50)], "rms": rms, "fine_rms": root(fine, fine_n, fine_some)[0], "flux": np.abs(np.diff(rms)), "h_rms": root(frame, n, some & (v < 100))[0],
-        "p_rms": root(frame, n, some & ~(v < 100))[0], "centroid": mean * 10 if mean is not None else None, "zcr": mean / 1000 if mean is not None else None, "chroma": list(e), "f0": np.where((count > 0) & (m >= 20), 55 + 2 * m, np.nan),
+        "duration": last, "tempo": 60.0 * len(t) / last if last else None, "beats": np.sort(t), "onsets": np.sort(t[known & ~(v <= 50)]), "rms": rms, "fine_rms": root(fine, fine_n, fine_some)[0], "flux": np.abs(np.diff(rms)), "h_rms": root(frame, n, some & (v < 100))[0],
+        "p_rms": root(frame, n, some & ~(v < 100))[0], "centroid": mean * 10 if mean is not None else None, "zcr": mean / 1000 if mean is not None else None, "chroma": list(e), "classes": [classes] if n else [], "f0": np.where((count > 0) & (m >= 20), 55 + 2 * m, np.nan),
         "voiced": np.minimum(1.0, m / 97.31415), "bounds": np.array([0.0, last / 3, 2 * (last / 3), last] if last is not None else []),
     }
 
 
 def listeners_once(spark: SparkSession, sf_dir: str, only: list[str]) -> DataFrame:
-    """Columns ``only`` of listeners(), for one reading: a user's rows meet once, as two arrays in order of time, and become a track's arrays there."""
+    """Columns ``only`` of listeners(), for one reading: a user's rows meet once, as two arrays in the table's order, and become a track's arrays there. ``classes``: chroma of the whole track as one frame."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
-    rows = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("track"), (micros / 2.16e10).alias("t"), "value")
-    tracks = rows.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("r")).select("track", "r.t", "r.value")
+    rows, place = _placed(spark, sf_dir, "events", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("track"), (micros / 2.16e10).alias("t"), "value")
+    tracks = rows.where("track IS NOT NULL").groupBy("track").agg(F.sort_array(F.collect_list(F.struct(*place, "t", "value"))).alias("r")).select("track", "r.t", "r.value")
     kinds = StructType.fromDDL(", ".join(f"{c} {LISTENED[c]}" for c in only))
     schema = to_arrow_schema(kinds)
 

@@ -109,8 +109,8 @@ def report(f: DataFrame, second: float = SECOND) -> DataFrame:
     arc = _series(f, "rms", "rms").withColumn("_n", F.floor(F.count("*").over(Window.partitionBy("track")) / 10))
     arc = arc.withColumn("segment", F.when(F.col("_n") > 0, F.floor(F.col("frame") / F.greatest("_n", F.lit(1)))).otherwise(0)).where("segment < 10")
     arc = arc.groupBy("track", "segment").agg(F.round(F.avg("rms"), 6).alias("mean_energy"), F.round(F.max("rms"), 6).alias("peak_energy")).groupBy("track").agg(F.sort_array(F.collect_list(F.struct("segment", "mean_energy", "peak_energy"))).alias("energy_arc"))
-    pc = f.select("track", F.explode("chroma").alias("c")).select("track", F.posexplode("c").alias("pc", "e")).groupBy("track", "pc").agg(F.round(F.avg("e"), 9).alias("e"))  # equal sums tie, in whatever order they were added
-    top = pc.groupBy("track").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("e").alias("e"), (-F.col("pc")).alias("k")))), 1, 12).alias("_c"))
+    sums = F.aggregate("chroma", F.array(*[F.lit(0.0)] * 12), lambda a, c: F.zip_with(a, c, lambda x, y: x + y))  # in order of frames
+    top = f.where(F.size("chroma") > 0).select("track", F.sort_array(F.transform(sums, lambda e, k: F.struct(e.alias("e"), (-k).alias("k")))).alias("_c"))
     names = F.array(*map(F.lit, S.NOTES))
     top = top.select("track", F.transform(F.slice(F.reverse("_c"), 1, 3), lambda c: F.element_at(names, 1 - c.k)).alias("dominant_chroma"))
     mean = lambda c: F.try_divide(H.total(F.col(c)), F.size(c).cast("double"))
