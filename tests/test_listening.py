@@ -118,3 +118,18 @@ def test_report_adds_in_the_tables_order(spark, tmp_path):
     want = {r[0]: dict(zip(names, r, strict=True)) for r in cur.fetchall()}
     got = {r.track: r.asDict() for r in entry.plans.QUERIES["track_report"](spark, str(tmp_path)).collect()}
     assert len(want) > 2 and got == want
+
+
+@pytest.mark.parametrize("name", ["perception_summary", "perception_events"])
+def test_beats_without_a_time(spark, tmp_path, name):
+    """They count among a track's beats as in the SQL: users with 0 to 24 beats and 0 to 3 more without a time."""
+    rows = [(10 * u + m, 20.0 + 7 * k, f"2024-01-{1 + k * 28 // max(n, 1):02} {(k * 5 + u) % 24:02}:10:00") for u, n in enumerate([1, 2, 3, 6, 24]) for m in range(4) for k in range(n)]
+    rows += [(10 * u + m, 33.0, None) for u in range(6) for m in range(4) for _ in range(m)] + [(None, 3.0, "2024-01-05 00:00:00")]
+    x = spark.createDataFrame(rows, "user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    x.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' WHERE user_id IS NOT NULL")
+    cur = c.execute(entry.plans.SQL[name])
+    names = [d[0] for d in cur.description]
+    got = entry.plans.QUERIES[name](spark, str(tmp_path)).select(*[f"`{n}`" for n in names]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))

@@ -99,10 +99,10 @@ def _arrays(frames: DataFrame, **columns) -> DataFrame:
     return frames.groupBy("track").agg(rows.alias("_r")).select("track", *[F.col(f"_r.{n}").alias(n) for n in columns])
 
 
-#: Columns of listeners() and their types, and ``classes``, which listeners_once() has beside them.
+#: Columns of listeners() and their types, and ``classes`` and ``untimed``, which listeners_once() has beside them.
 LISTENED = {
     "track": "string", "duration": "double", "tempo": "double", "beats": "array<double>", "onsets": "array<double>", "rms": "array<double>", "fine_rms": "array<double>", "flux": "array<double>", "h_rms": "array<double>",
-    "p_rms": "array<double>", "centroid": "double", "zcr": "double", "chroma": "array<array<double>>", "classes": "array<array<double>>", "f0": "array<double>", "voiced": "array<double>", "bounds": "array<double>",
+    "p_rms": "array<double>", "centroid": "double", "zcr": "double", "chroma": "array<array<double>>", "classes": "array<array<double>>", "untimed": "long", "f0": "array<double>", "voiced": "array<double>", "bounds": "array<double>",
 }
 
 
@@ -112,6 +112,7 @@ def _listened(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> dict:
     pc = np.fmod(np.floor(v), 12)
     pitched = known & (pc >= 0)
     classes = np.bincount(pc[pitched].astype(np.int64), v[pitched], 12)
+    untimed = int(np.isnan(t).sum())
     t, v, known, pc = (x[~np.isnan(t)] for x in (t, v, known, pc))
     last = float(np.ceil(t.max())) if len(t) else None
 
@@ -131,7 +132,7 @@ def _listened(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> dict:
     sung = some & (pc >= 0)
     np.add.at(e, (frame[sung], pc[sung].astype(np.int64)), v[sung])
     return {
-        "duration": last, "tempo": 60.0 * len(t) / last if last else None, "beats": np.sort(t), "onsets": np.sort(t[known & ~(v <= 50)]), "rms": rms, "fine_rms": root(fine, fine_n, fine_some)[0], "flux": np.abs(np.diff(rms)), "h_rms": root(frame, n, some & (v < 100))[0],
+        "duration": last, "untimed": untimed, "tempo": 60.0 * len(t) / last if last else None, "beats": np.sort(t), "onsets": np.sort(t[known & ~(v <= 50)]), "rms": rms, "fine_rms": root(fine, fine_n, fine_some)[0], "flux": np.abs(np.diff(rms)), "h_rms": root(frame, n, some & (v < 100))[0],
         "p_rms": root(frame, n, some & ~(v < 100))[0], "centroid": mean * 10 if mean is not None else None, "zcr": mean / 1000 if mean is not None else None, "chroma": list(e), "classes": [classes] if n else [], "f0": np.where((count > 0) & (m >= 20), 55 + 2 * m, np.nan),
         "voiced": np.minimum(1.0, m / 97.31415), "bounds": np.array([0.0, last / 3, 2 * (last / 3), last] if last is not None else []),
     }

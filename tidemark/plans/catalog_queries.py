@@ -97,7 +97,7 @@ CLAMPED = "greatest(0.0, least(dur.duration, un.time - 1)) AS b, greatest(0.0, l
 
 @query(f"""WITH {UNION} SELECT track, time AS event_time, type, x.time AS time, x.role AS role FROM (SELECT track, time, type, unnest({TIMES}) AS x FROM (SELECT un.track, un.time, un.type, un.duration, {CLAMPED} FROM un JOIN dur ON dur.track = un.track))""")
 def event_timestamps(spark, d):
-    x = M.heard(B.listeners_once(spark, d, M.HEARS), B.FRAME).select("track", F.col("duration").alias("_total"), F.explode("events").alias("e"))
+    x = M.heard(B.listeners_once(spark, d, [*M.HEARS, "untimed"]), B.FRAME).select("track", F.col("duration").alias("_total"), F.explode("events").alias("e"))
     times = E.event_times(F.col("e.time"), F.col("e.type"), F.col("e.duration"), F.col("_total"))
     return x.select("track", F.col("e.time").alias("event_time"), "e.type", F.explode(times).alias("x")).select("track", "event_time", "type", "x.time", "x.role")
 

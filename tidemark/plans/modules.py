@@ -137,7 +137,8 @@ def heard(f: DataFrame, second: float = SECOND) -> DataFrame:
     """One row per track with the curves of its grid, its events in order and their means (listening.HEARD)."""
     kinds = StructType.fromDDL(L.HEARD)
     schema, fine = to_arrow_schema(kinds), second * 256 / G.HOP
-    return f.select(*HEARS).mapInArrow(lambda batches: L.hear(batches, schema, second, fine), kinds)
+    untimed = F.col("untimed") if "untimed" in f.columns else F.lit(0)  # beats without a time
+    return f.select(*HEARS, untimed.cast("long")).mapInArrow(lambda batches: L.hear(batches, schema, second, fine), kinds)
 
 
 def perception(f: DataFrame, second: float = SECOND) -> tuple[DataFrame, DataFrame, DataFrame]:
